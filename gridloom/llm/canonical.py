@@ -61,14 +61,13 @@ def _unstable() -> re.Pattern:
     """Runs of characters for which the quick check does not say yes, with the character before each run."""
     second = set()  # characters that may compose with the one before them
     hit = []
-    for o in range(0x80, 0x110000):
-        if 0xD800 <= o < 0xE000 or 0x3400 <= o < 0xA000 and not unicodedata.decomposition(chr(o)) or 0xAC00 <= o < 0xD7A4 or 0x20000 <= o < 0xE0000:
-            continue
+    # the blocks left out hold unified ideographs, composed Hangul, surrogates and unassigned planes, all stable
+    for o in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE1000)):
         c = chr(o)
         d = unicodedata.decomposition(c)
         if d and not d.startswith("<"):
             second.update(chr(int(x, 16)) for x in d.split()[1:])
-        if unicodedata.combining(c) or unicodedata.normalize("NFC", _plain(c)) != c:
+        if unicodedata.combining(c) or o in LOOKALIKES or _unseen(c) or d and unicodedata.normalize("NFC", _plain(c)) != c or c in LIGATURES or unicodedata.category(c) == "Zs":
             hit.append(o)
     hit = sorted({*hit, *(ord(c) for c in second if ord(c) >= 0x80), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3)})
     spans, start = [], None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import canonical, digest, mixing, tokens
+from gridloom.llm import canonical, digest, linking, mixing, tokens
 from gridloom.runtime import load, materialize
 
 MEASURES = ["segment_length_median", "edge_circuity_mean"]
@@ -36,6 +36,16 @@ def p2_combined(spark: SparkSession, root: str) -> DataFrame:
     return digest.percentiles(digest.merge(runs, keys), keys)
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    cities = load(spark, root, "ghs_ucdb")
+    codes = load(spark, root, "candidate_city").select(F.col("iso3").alias("alias"), "country").distinct()
+    official = cities.select(F.col("gc_cnt_unn_2025").alias("alias"), F.col("gc_cnt_gad_2025").alias("country")).where(F.col("alias").isNotNull()).distinct()
+    return linking.link_places(
+        load(spark, root, "city_master"), "entry_id", "city_name_en", "country", "iso3",
+        cities, "id_uc_g0", "gc_ucn_mai_2025", "gc_cnt_gad_2025", codes.unionByName(official),
+    )
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     typed = canonical.alike_pairs(load(spark, root, "city_master"), "entry_id", ["batch_id"], "city_name_en")
     packed = canonical.alike_pairs(load(spark, root, "ghs_ucdb_raw"), "raw_id", ["delivery_id", "id_uc_g0"], "gc_ucn_lis_2025")
@@ -70,5 +80,5 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing.report(_sized(spark, root), load(spark, root, "source_weight"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_run": p2_by_run, "p2_combined": p2_combined, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_report": p8_report}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_run": p2_by_run, "p2_combined": p2_combined, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_report": p8_report}
 SQL = {"p7_roundtrip": P7_ROUNDTRIP_SQL}
