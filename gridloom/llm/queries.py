@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import canonical, digest, linking, mixing, tokens
+from gridloom.llm import canonical, digest, linking, mixing, stuffing, tokens
 from gridloom.runtime import load, materialize
 
 MEASURES = ["segment_length_median", "edge_circuity_mean"]
@@ -80,5 +80,10 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing.report(_sized(spark, root), load(spark, root, "source_weight"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_run": p2_by_run, "p2_combined": p2_combined, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_report": p8_report}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    docs = load(spark, root, "documents").select("doc_id", "lang", "text")
+    return stuffing.stuffed(docs, load(spark, root, "doc_review"), "doc_id", "text", "lang", "is_stuffed").select("doc_id")
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_run": p2_by_run, "p2_combined": p2_combined, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found}
 SQL = {"p7_roundtrip": P7_ROUNDTRIP_SQL}
