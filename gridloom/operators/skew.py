@@ -22,12 +22,13 @@ from gridloom.runtime import free_names
 
 @dataclass
 class LoadPlan:
-    """tasks: partitions; total: rows counted; heavy: (key, load, slots) with one slot per shard; loads: rows expected per task."""
+    """tasks: partitions; total: rows with a key; rows: all rows; heavy: (key, load, slots), one slot per shard; loads: rows expected per task."""
 
     tasks: int
     total: int
     heavy: list[tuple[object, int, list[int]]]
     loads: list[int]
+    rows: int = 0
 
     @property
     def imbalance(self) -> float:
@@ -39,17 +40,19 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None, heavy_share: f
     """Count loads per key and pack them. Null keys are not planned: they match nothing and are spread by their rows' hashes."""
     spark = df.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_key = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+    per_key = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
     # one pass: rows per task if every key stood unsplit, and the keys that could be heavy; both bounded by the tasks
-    by_task = per_key.groupBy(F.pmod(F.hash(F.lit(0), "k"), F.lit(tasks)).alias("t")).agg(F.sum("n").alias("n")).collect()
+    by_task = per_key.groupBy(F.when(F.col("k").isNull(), -1).otherwise(F.pmod(F.hash(F.lit(0), "k"), F.lit(tasks))).alias("t")).agg(F.sum("n").alias("n")).collect()
+    rows = sum(r.n for r in by_task)
+    by_task = [r for r in by_task if r.t >= 0]
     total = sum(r.n for r in by_task)
     limit = max(1, math.ceil(heavy_share * total / tasks))
-    big = per_key.where(F.col("n") > limit).collect() if total else []  # at most tasks / heavy_share keys
+    big = per_key.where(F.col("k").isNotNull() & (F.col("n") > limit)).collect() if total else []  # at most tasks / heavy_share keys
     loads = [0] * tasks
     for r in by_task:
         loads[r.t] += r.n
     if not big:
-        return LoadPlan(tasks, total, [], loads)
+        return LoadPlan(tasks, total, [], loads, rows)
     schema = T.StructType([T.StructField("k", df.schema[key].dataType)])
     keys = spark.createDataFrame([(r.k,) for r in big], schema)
     # slots of each heavy key by the task they lead to
@@ -77,7 +80,7 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None, heavy_share: f
         for x in skipped:
             heapq.heappush(heap, x)
         heavy.append((r.k, r.n, chosen or [0]))
-    return LoadPlan(tasks, total, heavy, loads)
+    return LoadPlan(tasks, total, heavy, loads, rows)
 
 
 def _slots(df: DataFrame, key: str, plan: LoadPlan, name: str) -> DataFrame:

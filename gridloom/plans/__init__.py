@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gridloom.plans import general
+from gridloom.plans import general, statistics
 
-MODULES = (general,)
+MODULES = (statistics, general)
 
 
 def queries() -> dict[str, Callable]:

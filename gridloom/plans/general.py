@@ -27,20 +27,13 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     out = None
     for src in SKEWED:
         rows = load(spark, root, src).select("city_id")
-        counts = skew.per_key(rows, "city_id", [F.count("*").alias("n")], [F.sum("n").alias("n")])
-        # the total is the sum of the counts, one row, so the table is not read again for it
-        share = counts.withColumn("of", F.sum("n").over(_all()))
-        found = share.where(F.col("city_id").isNotNull() & (F.col("n") * 20 >= F.col("of"))).select(F.lit(src).alias("src"), "city_id")
+        plan = skew.plan_loads(rows, "city_id")
+        counts = skew.per_key(rows, "city_id", [F.count("*").alias("n")], [F.sum("n").alias("n")], plan)
+        found = counts.where(F.col("city_id").isNotNull() & (F.col("n") * 20 >= plan.rows)).select(F.lit(src).alias("src"), "city_id")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))  # over the counts per city, a few hundred rows
-
-
 P5_FOUND_SQL = " UNION ALL ".join(
     f"SELECT '{src}' AS src, city_id FROM (SELECT city_id, count(*) AS n, (SELECT count(*) FROM {src}) AS t FROM {src} GROUP BY city_id) WHERE city_id IS NOT NULL AND n * 20 >= t" for src in SKEWED
 )
