@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gridloom.plans import general, statistics
+from gridloom.plans import general, statistics, structure
 
-MODULES = (statistics, general)
+MODULES = (statistics, structure, general)
 
 
 def queries() -> dict[str, Callable]:
