@@ -152,6 +152,7 @@ def closest(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD,
     weighted = spelled.join(idf, "gram")
     norms = weighted.groupBy("w").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     index = entries.join(weighted, "w").join(norms, "w").select("gram", "id", "w", "eb", (F.col("tf") * F.col("idf") ** 2 / F.col("norm")).alias("weight"))
+    index, idf = materialize(index, "index"), materialize(idf, "idf")  # the list's, read several times below
     small = posted <= BROADCAST_ROWS  # the list's size, not the values'; beyond it both sides are shuffled by n-gram
     if small:
         index, idf = F.broadcast(index), F.broadcast(idf)
