@@ -142,8 +142,8 @@ def stuffed(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: st
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__y"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(most_labels)
-    seen = known.join(docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__t"), F.col(lang).alias("__l")), F.col("__id") == F.col("__d"))
+    known = known.orderBy(F.xxhash64("__id"), "__id").limit(most_labels)  # a proven bound of rows, each an id and a flag
+    seen = F.broadcast(known).join(docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__t"), F.col(lang).alias("__l")), F.col("__id") == F.col("__d"))
     rows = seen.select(page_shares(F.col("__t")).alias("x"), F.col("__y").cast("int").alias("y"), F.col("__l").alias("l")).limit(most_labels).collect()
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(NAMES))
     w, pooled, by = calibrate(x, np.array([r.y for r in rows], dtype=float), [r.l for r in rows])
