@@ -225,8 +225,12 @@ class SpellingCode:
 
     INSIDE = {"A": 4.7, "a": 4.0, "0": 3.3, "U1": 4.6, "l1": 4.6, "U2": 5.0, "l2": 5.0, "U3": 8.0, "l3": 8.0, "m": 3.0}
 
+    #: What is known before any count: values are words.
+    PRIOR = {("^", "A"): 4, ("^", "a"): 1, ("^", "0"): 1, ("A", "a"): 4, ("A", "A"): 1, ("a", "a"): 16, ("a", " "): 1, (" ", "A"): 1, (" ", "a"): 1, ("a", "$"): 4, ("A", "$"): 1, ("0", "0"): 1, ("0", "$"): 1}
+
     def __init__(self, counts: dict[tuple[str, str], int]):
-        self.counts = counts
+        self.counts = {k: counts.get(k, 0) + self.PRIOR.get(k, 0) for k in counts.keys() | self.PRIOR.keys()}
+        counts = self.counts
         self.total: dict[str, int] = {}
         for (a, _), n in counts.items():
             self.total[a] = self.total.get(a, 0) + n
@@ -260,15 +264,17 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
 
     Null and blank fields and void elements (only white space, or a text that says there is no name) give no row
     and take no position; repeated values stay repeated. Very long fields are parsed whole. Repeated rows are parsed
-    each like the others. An empty table gives an empty result. `pos` and `value` must not be columns of df.
+    each like the others. An empty table gives an empty result. Columns of df that are called like `pos` or `value` come
+    out with a leading underscore.
     """
-    clash = {c.lower() for c in df.columns} & {pos.lower(), value.lower()}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    f_, c_, p_ = free_names(df, "__field", "__cands", "__parse")
+    for c in df.columns:
+        if c.lower() in (pos.lower(), value.lower()):
+            new = free_names(df, "_" + c)[0]
+            df, field = df.withColumnRenamed(c, new), new if c == field else field
+    f_, c_, p_, n_ = free_names(df, "__field", "__cands", "__parse", "__n")
     tasks = parallelism(df.sparkSession)  # few bytes cost much Python here, so partitions must not be merged by size
     fields = df.select(F.col(field).alias("f")).where(F.col("f").isNotNull() & (F.trim("f") != "")).groupBy("f").agg(F.lit(1).alias("one")).repartition(tasks, "f")
-    parsed = fields.select("f", _candidates("f").alias("c"))
+    parsed = fields.select(_key(F.col("f")).alias("f"), _candidates("f").alias("c"))
     sure = parsed.where(F.size("c") == 1)
     rows = sure.select(F.col("c")[0]["coded"].alias("coded")).mapInPandas(_count_transitions, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
     code = df.sparkSession.sparkContext.broadcast({(r.a, r.b): r.n for r in rows})  # classes squared at most, whatever the corpus
@@ -280,7 +286,9 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
     each = parsed.select("f", F.size("c").alias("of"), F.posexplode("c").alias("cid", "p"))
     # the coded unit is what stands between protected separators, so that a part repeated under protection is as cheap as one repeated without it
     units = F.flatten(F.transform(F.col("p.coded"), lambda v: F.filter(F.split(v, PROTECTED), lambda u: F.trim(u) != "")))
-    vals = each.select("f", "cid", "of", F.col("p.bits").alias("bits"), F.explode_outer(units).alias("unit"), (F.size(units) - F.size("p.coded")).alias("inner"))
+    each = each.select("f", "cid", "of", F.col("p.bits").alias("bits"), units.alias("units"), F.size("p.coded").alias("values"))
+    # what belongs to the parse is worked out before its units are told apart, once per parse
+    vals = each.select("f", "cid", "of", "bits", (F.size("units") - F.col("values")).alias("inner"), "units").select("f", "cid", "of", "bits", "inner", F.explode_outer("units").alias("unit"))
     words = (
         vals.where(F.col("unit").isNotNull())
         .groupBy("unit", "f", "cid").agg(F.first("of").alias("of"))  # a dictionary entry counts once per field
@@ -299,10 +307,10 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
     chosen = scored.select(F.col("f").alias(f_), F.col("cid").alias(c_))
     base = df.where(F.col(field).isNotNull() & (F.trim(F.col(field)) != ""))
     return (
-        base.join(chosen, base[field] == chosen[f_], "left")
+        base.join(chosen, _key(F.col(field)) == F.col(f_), "left")
         .withColumn(p_, _pick(F.col(field), F.coalesce(F.col(c_), F.lit(0))))
-        .select(*df.columns, F.posexplode(p_).alias("__p", value))
-        .withColumn(pos, (F.col("__p") + 1).cast("int"))
+        .select(*df.columns, F.posexplode(p_).alias(n_, value))
+        .withColumn(pos, (F.col(n_) + 1).cast("int"))
         .select(*df.columns, pos, value)
     )
 
@@ -313,6 +321,11 @@ def _pick(fields: pd.Series, which: pd.Series) -> pd.Series:
     return pd.Series([candidate_parses(f)[int(k)]["names"] for f, k in zip(fields, which)], dtype=object)
 
 
+def _key(field: Column) -> Column:
+    """Short name of a field: itself, or its SHA-256 if that is shorter, so that no row carries a long field along."""
+    return F.when(F.length(field) <= 64, field).otherwise(F.sha2(field.cast("binary"), 256))
+
+
 def dialects(df: DataFrame, field: str) -> Column:
     """Candidate parses of a field, for inspection."""
     return _candidates(df[field])

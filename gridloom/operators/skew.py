@@ -96,7 +96,8 @@ def _slots(df: DataFrame, key: str, plan: LoadPlan, name: str) -> DataFrame:
 def fragment(df: DataFrame, key: str, plan: LoadPlan, slot: str) -> DataFrame:
     """Adds the slot of each row: one of its heavy key's, by the row's hash; 0 for light keys; spread for null keys."""
     s_ = free_names(df, "__slots")[0]
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.lit(0)
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]  # maps have no hash
+    h = F.xxhash64(*plain) if plain else F.lit(0)
     row = F.pmod(h, F.lit(1 << 30)).cast("int")
     return (
         _slots(df, key, plan, s_)
@@ -119,9 +120,17 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: st
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the replicated side may not be preserved: its copies would come out repeatedly")
     taken = {c.lower() for c in left.columns}
-    right = right.select(*[F.col(f"`{c}`").alias(c if c == key or c.lower() not in taken else f"{c}_right") for c in right.columns])
+    names = {}
+    for c in right.columns:
+        new = c
+        while c != key and new.lower() in taken | {x.lower() for x in names.values()}:
+            new += "_right"
+        names[c] = new
+    right = right.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     plan = plan or plan_loads(left, key)
-    slot = free_names(left.join(right, key), "__slot")[0]
+    slot = "__slot"
+    while slot in left.columns or slot in right.columns:
+        slot = "_" + slot
     return fragment(left, key, plan, slot).join(replicate(right, key, plan, slot), [slot, key], how).drop(slot)
 
 
