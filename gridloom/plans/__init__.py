@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gridloom.plans import general, statistics, structure
+from gridloom.plans import assembly, general, statistics, structure
 
-MODULES = (statistics, structure, general)
+MODULES = (statistics, structure, assembly, general)
 
 
 def queries() -> dict[str, Callable]:
