@@ -22,7 +22,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gridloom.runtime import free_names, parallelism
+from gridloom.runtime import free_names, materialize, parallelism
 
 # Separators in use, brackets that protect, pairs of quotes, and texts that only say there is no name.
 SEPARATORS = (";", ",", "|", "||", "/", "\t", "\n", "、", "，", "；", "·", "•")
@@ -274,7 +274,9 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
     f_, c_, p_, n_ = free_names(df, "__field", "__cands", "__parse", "__n")
     tasks = parallelism(df.sparkSession)  # few bytes cost much Python here, so partitions must not be merged by size
     fields = df.select(F.col(field).alias("f")).where(F.col("f").isNotNull() & (F.trim("f") != "")).groupBy("f").agg(F.lit(1).alias("one")).repartition(tasks, "f")
-    parsed = fields.select(_key(F.col("f")).alias("f"), _candidates("f").alias("c"))
+    # parsed once and written without what scoring does not need; dictionary encoding makes the repeated values cheap
+    found = fields.select(_key(F.col("f")).alias("f"), _candidates("f").alias("c"))
+    parsed = materialize(found.select("f", F.transform("c", lambda p: F.struct(p["coded"].alias("coded"), p["bits"].alias("bits"))).alias("c")), "parses")
     sure = parsed.where(F.size("c") == 1)
     rows = sure.select(F.col("c")[0]["coded"].alias("coded")).mapInPandas(_count_transitions, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
     code = df.sparkSession.sparkContext.broadcast({(r.a, r.b): r.n for r in rows})  # classes squared at most, whatever the corpus
