@@ -24,7 +24,9 @@ BEFORE = ("the city of", "city of", "municipality of", "town of", "greater", "me
 BEHIND = ("urban area", "metro area", "metropolitan area", "municipality", "city", "town", "metro")
 TITLES = ("republic of", "rep", "kingdom of", "state of", "the", "un")
 LEADING = {"east", "west", "north", "south", "upper", "lower", "new", "old", "port", "fort", "lake", "mount", "saint", "great", "little"}
-ABBREVIATED = {"e": "east", "w": "west", "n": "north", "s": "south", "up": "upper", "lr": "lower", "low": "lower", "nw": "new", "pt": "port", "prt": "port", "ft": "fort", "lk": "lake", "mt": "mount", "mnt": "mount", "st": "saint"}
+ABBREVIATED = {"up": "upper", "lr": "lower", "low": "lower", "nw": "new", "pt": "port", "prt": "port", "ft": "fort", "lk": "lake", "mt": "mount", "mnt": "mount", "st": "saint"}
+
+INITIALS = {w[0] for w in LEADING}
 
 THRESHOLD, MARGIN, DISTANCE = 0.10, 0.05, 3
 
@@ -60,7 +62,7 @@ def clean_name(text: str) -> tuple[str, str]:
     m = re.fullmatch(r"\s*(.*?)\s*[(\[]([^()\[\]]*)[)\]]\s*", text) or re.fullmatch(r"\s*([^,]*?)\s*,\s*(.*?)\s*", text)
     name, added = m.groups() if m else (text, "")
     name, added = _strip_words(_fold(name, SINGLE)), _fold(added, SINGLE)
-    if ABBREVIATED.get(added, added) in LEADING:
+    if ABBREVIATED.get(added, added) in LEADING | INITIALS:
         return f"{ABBREVIATED.get(added, added)} {name}", ""
     return _leading(name), added
 
@@ -82,8 +84,10 @@ def clean_country(text: str) -> str:
 
 
 def variants(text: str) -> list[str]:
-    """Spellings under which an entry is indexed: marks dropped, and written as digraphs."""
-    return sorted({_fold(text, SINGLE), _fold(text, DIGRAPHS)} - {""})
+    """Spellings under which an entry is indexed: marks dropped, and written as digraphs; a leading word also as its initial."""
+    full = {_fold(text, SINGLE), _fold(text, DIGRAPHS)} - {""}
+    short = {f"{first[0]} {rest}" for first, _, rest in (v.partition(" ") for v in full) if rest and first in LEADING}
+    return sorted(full | short)
 
 
 def distance(a: str, b: str, most: int) -> int:
