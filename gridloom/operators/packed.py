@@ -291,10 +291,10 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
     each = each.select("f", "cid", "of", F.col("p.bits").alias("bits"), units.alias("units"), F.size("p.coded").alias("values"))
     # what belongs to the parse is worked out before its units are told apart, once per parse
     vals = each.select("f", "cid", "of", "bits", (F.size("units") - F.col("values")).alias("inner"), "units").select("f", "cid", "of", "bits", "inner", F.explode_outer("units").alias("unit"))
+    # a dictionary entry counts once per parse of a field; equal words are added up before they are shuffled
     words = (
-        vals.where(F.col("unit").isNotNull())
-        .groupBy("unit", "f", "cid").agg(F.first("of").alias("of"))  # a dictionary entry counts once per field
-        .groupBy(F.col("unit").alias("word")).agg(F.greatest(F.lit(1.0), F.sum(1.0 / F.col("of"))).alias("uses"))
+        each.select("of", F.explode(F.array_distinct("units")).alias("word"))
+        .groupBy("word").agg(F.greatest(F.lit(1.0), F.sum(1.0 / F.col("of"))).alias("uses"))
         .repartition(tasks, "word")
         .withColumn("spell", spelled("word"))
     )
