@@ -72,14 +72,18 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(keep, "u", "left_semi")
 
 
-def shortest(edges: DataFrame, sources: DataFrame, length: str, cutoff: float | None = None) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, length: str, cutoff: float | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(source, node, distance): least sums of lengths from each source along directed edges, none above the cutoff.
 
     Relaxation of the nodes that improved in the last step only; with a cutoff the frontier stays local. For the
     distance to the nearest of many sources give them one name in column `source`. sources: columns source, node.
+    With `targets` (source, node) only these pairs come out, exactly, see `routes`.
     """
-    e = materialize(edges.select("u", "v", F.col(length).alias("w")).where(F.col("w") > 0), "sp")
+    w = F.col("w")
+    e = materialize(edges.select("u", "v", F.col(length).alias("w")).where((w > 0) & (w < float("inf"))), "sp")
     best = materialize(sources.select("source", "node").distinct().withColumn("d", F.lit(0.0)), "sp")
+    if targets is not None:
+        return routes(e, best, targets, cutoff)
     front = best
     while True:
         step = front.join(e, front["node"] == e["u"]).select("source", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"))
@@ -93,6 +97,34 @@ def shortest(edges: DataFrame, sources: DataFrame, length: str, cutoff: float |
         best = materialize(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "sp")
 
 
+def routes(e: DataFrame, best: DataFrame, targets: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """Relaxation from `best` (source, node, d) over edges (u, v, w), for pairs (source, node) alone, and exact for them.
+
+    A path that improves a target is shorter than the target's distance so far and ends with an edge into it. So a node is
+    followed only while its distance is less than some target's less its shortest edge in, or while a target that has an edge
+    in is not reached. The slack of a micrometre keeps sums that are rounded.
+    """
+    shortest_in = e.groupBy(F.col("v").alias("node")).agg(F.min("w").alias("last"))
+    e = materialize(e.groupBy("u", "v").agg(F.min("w").alias("w")).join(e.groupBy(F.col("u").alias("v")).agg(F.min("w").alias("onward")), "v", "left"), "sp")
+    goals = materialize(targets.select("source", "node").distinct().join(shortest_in, "node"), "sp")
+    front = best
+    while True:
+        far = F.coalesce("d", F.lit(float("inf")))
+        bound = materialize(goals.join(best, ["source", "node"], "left").groupBy("source").agg(F.max(far).alias("most"), (F.max(far - F.col("last")) + 1e-6).alias("limit")), "sp")
+        step = front.join(bound, "source").where(F.col("d") < F.col("limit")).join(e, F.col("node") == F.col("u"))
+        step = step.select("source", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), "onward", "most", "limit").where(F.col("d") < F.col("most"))
+        if cutoff is not None:
+            step = step.where(F.col("d") <= cutoff)
+        step = step.groupBy("source", "node").agg(F.min("d").alias("d"), *[F.min(c).alias(c) for c in ("onward", "most", "limit")])
+        useful = F.col("last").isNotNull() | ((F.col("d") < F.col("limit")) & (F.col("d") + F.col("onward") < F.col("most") + 1e-6))
+        step = step.join(goals, ["source", "node"], "left").where(useful)
+        old = best.withColumnRenamed("d", "d0")
+        front = materialize(step.join(old, ["source", "node"], "left").where(F.col("d0").isNull() | (F.col("d") < F.col("d0"))).select("source", "node", "d"), "sp")
+        if front.isEmpty():
+            return best.join(goals, ["source", "node"], "left_semi").select("source", "node", F.col("d").alias("distance"))
+        best = materialize(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "sp")
+
+
 def route_pairs(pairs: DataFrame, paths: DataFrame, origin: str, destination: str, straight: str) -> DataFrame:
     """Adds route_length_m, detour_ratio, route_found and failure_reason (same_node, no_path) to origin-destination pairs."""
     p = paths.select(F.col("source").alias("__s"), F.col("node").alias("__n"), F.col("distance").alias("__d"))

@@ -221,10 +221,11 @@ m AS (SELECT source, node, min(d) AS d FROM r GROUP BY ALL), p AS (SELECT DISTIN
 SELECT od_id, o, t, round(CASE WHEN o <> t THEN d END, 3) AS route_length_m, round(CASE WHEN o <> t THEN d / nullif(s, 0) END, 6) AS detour_ratio, coalesce(o <> t AND d IS NOT NULL, false) AS route_found, CASE WHEN o = t THEN 'same_node' WHEN d IS NULL THEN 'no_path' END AS failure_reason FROM p LEFT JOIN m ON p.o = m.source AND p.t = m.node
 """)
 def od_routing(spark, root):
-    """Routes of all samples within 3 km, over the samples as directed edges."""
+    """Routes of all samples, however long, over the samples as directed edges."""
     od = load(spark, root, "od_detour_samples")
     pairs = od.select("od_id", F.col("origin_unit_id").alias("o"), F.col("destination_unit_id").alias("t"), F.col("straight_distance_m").alias("s")).distinct()
-    paths = graph.shortest(_edges(spark, root), pairs.select(F.col("o").alias("source"), F.col("o").alias("node")), "length", 3000.0)
+    wanted = pairs.where(F.col("o") != F.col("t")).select(F.col("o").alias("source"), F.col("t").alias("node"))
+    paths = graph.shortest(_edges(spark, root), wanted.select("source", F.col("source").alias("node")), "length", targets=wanted)
     got = graph.route_pairs(pairs, paths, "o", "t", "s")
     return got.select("od_id", "o", "t", F.round("route_length_m", 3).alias("route_length_m"), F.round("detour_ratio", 6).alias("detour_ratio"), "route_found", "failure_reason")
 
