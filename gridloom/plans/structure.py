@@ -40,7 +40,7 @@ v AS (SELECT raw_id, trim(n, ' ') AS v FROM p UNION SELECT raw_id, trim(regexp_r
 SELECT raw_id, v AS variant FROM v WHERE v <> ''
 """)
 def name_variants(spark, root):
-    raw = load(spark, root, "ghs_ucdb_raw").where(~F.col("gc_ucn_lis_2025").contains("|"))
+    raw = load(spark, root, "ghs_ucdb_raw")
     return raw.select("raw_id", F.explode(text.name_variants(F.col("gc_ucn_lis_2025"))).alias("variant"))
 
 

@@ -43,3 +43,10 @@ def test_od_routing_has_no_cutoff(spark, tmp_path):
     got = {r.od_id: (r.route_length_m, r.route_found, r.failure_reason) for r in plans.queries()["od_routing"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[i][1:] == want[i][1:] and (want[i][0] is None or math.isclose(got[i][0], want[i][0], abs_tol=2e-3)) for i in want)
     assert max(d for d, *_ in got.values() if d) > 3000
+
+
+def test_name_variants_of_every_list(spark, tmp_path):
+    rows = [(1, "Ash; Elm (Old Elm)"), (2, "Oak|Fir; Yew [Yews|Yewton]"), (3, None), (4, "|"), (5, " ; ;")]
+    table(spark, tmp_path, "ghs_ucdb_raw", rows, "raw_id long, gc_ucn_lis_2025 string")
+    got = sorted(map(tuple, plans.queries()["name_variants"](spark, str(tmp_path)).collect()))
+    assert got == sorted([(1, "Ash"), (1, "Elm (Old Elm)"), (1, "Elm"), (1, "Old Elm"), (2, "Oak|Fir"), (2, "Yew [Yews|Yewton]"), (2, "Yew"), (2, "Yews|Yewton"), (4, "|")])
