@@ -75,6 +75,18 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.coalesce(F.aggregate(crossings, F.lit(False), lambda a, b: a != F.coalesce(b, F.lit(False))), F.lit(False))
 
 
+def unwrapped(lon: Column, start: Column) -> Column:
+    """Longitude `lon` moved by 360 degrees where that is nearer to `start`, so that a line across the 180th meridian is short."""
+    return F.when(lon - start > 180, lon - 360).when(lon - start < -180, lon + 360).otherwise(lon)
+
+
+def unwrapped_ring(ring: Column) -> Column:
+    """Ring whose longitudes run on across the 180th meridian, each within 180 degrees of the one before."""
+    start = F.slice(ring, 1, 1)
+    step = lambda done, p: F.concat(done, F.array(F.struct(unwrapped(p["lon"], F.element_at(done, -1)["lon"]).alias("lon"), p["lat"].alias("lat"))))
+    return F.when(F.size(ring) > 1, F.aggregate(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.transform(start, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))), step)).otherwise(ring)
+
+
 def wkb_point(wkb: Column) -> tuple[Column, Column]:
     """Longitude and latitude of little-endian WKB points, decoded arithmetically; null for other geometries."""
     hexed = F.hex(wkb)

@@ -152,10 +152,13 @@ p AS (SELECT cx, cy, len, least(1, a1, b1) - greatest(0, a0, b0) AS part FROM t)
 SELECT cx::BIGINT AS cx, cy::BIGINT AS cy, round(sum(part * len), 2) AS length_m FROM p WHERE part > 1e-9 GROUP BY ALL
 """)
 def edge_clip_lengths(spark, root):
+    """Length of the samples' lines in each cell; a line across the 180th meridian goes the short way."""
     c = F.col
-    od = load(spark, root, "od_detour_samples").where((F.abs(c("origin_center_lon") - c("destination_center_lon")) < 1) & (F.abs(c("origin_center_lat") - c("destination_center_lat")) < 1) & (F.abs("origin_center_lon") <= 180) & (F.abs("origin_center_lat") <= 90) & c("straight_distance_m").isNotNull())
-    s = spatial.clip_to_cells(od.select("origin_center_lon", "origin_center_lat", "destination_center_lon", "destination_center_lat", "straight_distance_m"), "origin_center_lon", "origin_center_lat", "destination_center_lon", "destination_center_lat", 0.05)
-    return s.where(c("part") > 1e-9).groupBy(c("cx").cast("long").alias("cx"), c("cy").cast("long").alias("cy")).agg(F.round(F.sum(c("part") * c("straight_distance_m")), 2).alias("length_m"))
+    od = load(spark, root, "od_detour_samples").where(c("origin_center_lon").between(-180, 180) & c("destination_center_lon").between(-180, 180) & c("origin_center_lat").between(-90, 90) & c("destination_center_lat").between(-90, 90) & c("straight_distance_m").isNotNull())
+    od = od.select(c("origin_center_lon").alias("x0"), c("origin_center_lat").alias("y0"), geo.unwrapped(c("destination_center_lon"), c("origin_center_lon")).alias("x1"), c("destination_center_lat").alias("y1"), "straight_distance_m")
+    s = spatial.clip_to_cells(od, "x0", "y0", "x1", "y1", 0.05).where(c("part") > 1e-9)
+    cx = F.when(c("cx") >= 3600, c("cx") - 7200).when(c("cx") < -3600, c("cx") + 7200).otherwise(c("cx"))
+    return s.groupBy(cx.cast("long").alias("cx"), c("cy").cast("long").alias("cy")).agg(F.round(F.sum(c("part") * c("straight_distance_m")), 2).alias("length_m"))
 
 
 # graphs

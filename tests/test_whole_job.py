@@ -50,3 +50,20 @@ def test_name_variants_of_every_list(spark, tmp_path):
     table(spark, tmp_path, "ghs_ucdb_raw", rows, "raw_id long, gc_ucn_lis_2025 string")
     got = sorted(map(tuple, plans.queries()["name_variants"](spark, str(tmp_path)).collect()))
     assert got == sorted([(1, "Ash"), (1, "Elm (Old Elm)"), (1, "Elm"), (1, "Old Elm"), (2, "Oak|Fir"), (2, "Yew [Yews|Yewton]"), (2, "Yew"), (2, "Yews|Yewton"), (4, "|")])
+
+
+def test_edges_across_the_180th_meridian(spark, tmp_path):
+    rows = [(179.96, 10.01, -179.94, 10.01, 1000.0), (-179.99, 0.02, 179.99, 0.02, 200.0), (5.01, 0.01, 7.01, 3.01, 4000.0), (1.0, 1.0, 1.01, 1.01, None), (200.0, 1.0, 1.0, 1.0, 5.0)]
+    table(spark, tmp_path, "od_detour_samples", rows, "origin_center_lon double, origin_center_lat double, destination_center_lon double, destination_center_lat double, straight_distance_m double")
+    got = {(r.cx, r.cy): r.length_m for r in plans.queries()["edge_clip_lengths"](spark, str(tmp_path)).collect()}
+    assert got[3599, 200] == 400 and got[-3600, 200] == 500 and got[-3599, 200] == 100 and got[3599, 0] == 100 and got[-3600, 0] == 100
+    assert abs(sum(got.values()) - 5200) < 1 and all(-3600 <= x < 3600 for x, _ in got)
+
+
+def test_zones_across_the_180th_meridian(spark, tmp_path):
+    table(spark, tmp_path, "candidate_city", [("a", 179.9, 1.0), ("b", -179.95, 1.0), ("c", 20.0, 1.0)], "city_id string, center_lon double, center_lat double")
+    nodes = [(1, "drive", None, 179.85, 1.0, 2.0), (2, "drive", None, -179.95, 1.01, 3.0), (3, "walk", None, 20.05, 1.0, 4.0), (4, "walk", None, -179.5, 1.0, 5.0)]
+    table(spark, tmp_path, "network_context", nodes, "osmid long, network_type string, built_at date, lon double, lat double, x_scale double")
+    inside = plans.queries()["point_in_polygon"](spark, str(tmp_path)).collect()
+    assert sorted((r.zone_id, r.osmid) for r in inside) == [("a", 1), ("a", 2), ("b", 2), ("c", 3)]
+    assert {r.city_id: (r.pixels, r.total) for r in plans.queries()["zonal_stats"](spark, str(tmp_path)).collect()} == {"a": (2, 5.0), "b": (1, 3.0), "c": (1, 4.0)}
