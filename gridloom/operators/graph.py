@@ -150,14 +150,28 @@ def contract_chains(edges: DataFrame, length: str) -> DataFrame:
     return tips.join(total, "component").select(F.coalesce("lo", "any").alias("u"), F.coalesce("hi", "any").alias("v"), length, "parts")
 
 
-def betweenness(edges: DataFrame, k: int, seed: int = 1) -> DataFrame:
+def sources_of(n: Column) -> Column:
+    """How many sources a graph of n nodes gets."""
+    return F.least(n, F.when(n <= 50_000, 64).when(n <= 200_000, 32).when(n <= 800_000, 16).otherwise(8))
+
+
+def betweenness(edges: DataFrame, k: int | None = None, seed: int = 1) -> DataFrame:
     """(node, betweenness) of the undirected unweighted graph from k sources with the smallest seeded hashes, over k.
 
-    Counts shortest paths level by level outward from all sources at once, then collects dependencies level by level inward.
+    Without k each component is a graph of its own: it gets `sources_of` its size and is divided by that. Counts shortest
+    paths level by level outward from all sources at once, then collects dependencies level by level inward.
     """
     e = materialize(both_ways(edges.select("u", "v").where(F.col("u") != F.col("v"))).distinct(), "bt")
-    nodes = e.select(F.col("u").alias("node")).distinct()
-    src = nodes.orderBy(seed_of(F.col("node").cast("string"), seed), "node").limit(k)
+    order = [seed_of(F.col("node").cast("string"), seed), F.col("node")]
+    if k is None:
+        part = materialize(components(e), "bt")
+        size = part.groupBy("component").agg(F.count("*").alias("n")).select("component", sources_of(F.col("n")).alias("k"))
+        nodes = materialize(part.join(size, "component"), "bt")
+        rank = F.row_number().over(Window.partitionBy("component").orderBy(*order))
+        src = nodes.withColumn("rank", rank).where(F.col("rank") <= 64).where(F.col("rank") <= F.col("k"))
+    else:
+        nodes = e.select(F.col("u").alias("node")).distinct().withColumn("k", F.lit(k))
+        src = nodes.orderBy(*order).limit(k)
     seen = materialize(src.select(F.col("node").alias("s"), "node", F.lit(0).alias("lv"), F.lit(1.0).alias("paths")), "bt")
     front, level = seen, 0
     while True:
@@ -176,7 +190,7 @@ def betweenness(edges: DataFrame, k: int, seed: int = 1) -> DataFrame:
         delta = materialize(parent.join(up, ["s", "node"], "left").select("s", "node", F.coalesce(F.col("per") * F.col("paths"), F.lit(0.0)).alias("dep")), "bt")
         done = done.unionByName(delta)
     total = done.where(F.col("s") != F.col("node")).groupBy("node").agg(F.sum("dep").alias("b"))
-    return nodes.join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) / k).alias("betweenness"))
+    return nodes.join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) / F.col("k")).alias("betweenness"))
 
 
 def within(distance: Column, limit: float) -> tuple[Column, Column]:

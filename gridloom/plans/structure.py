@@ -240,7 +240,7 @@ def contract_chains(spark, root):
 
 @query(None)
 def sampled_betweenness(spark, root):
-    return graph.betweenness(_edges(spark, root), 4)
+    return graph.betweenness(_edges(spark, root))
 
 
 # models

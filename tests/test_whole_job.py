@@ -67,3 +67,12 @@ def test_zones_across_the_180th_meridian(spark, tmp_path):
     inside = plans.queries()["point_in_polygon"](spark, str(tmp_path)).collect()
     assert sorted((r.zone_id, r.osmid) for r in inside) == [("a", 1), ("a", 2), ("b", 2), ("c", 3)]
     assert {r.city_id: (r.pixels, r.total) for r in plans.queries()["zonal_stats"](spark, str(tmp_path)).collect()} == {"a": (2, 5.0), "b": (1, 3.0), "c": (1, 4.0)}
+
+
+def test_betweenness_draws_sources_in_every_component(spark, tmp_path):
+    rows = [(f"{c}{i}", f"{c}{i + 1}") for c in "abcdefghij" for i in range(4)] + [("z0", f"z{i}") for i in range(1, 80)]
+    table(spark, tmp_path, "od_detour_samples", [(*r, 1.0, 1.0) for r in rows], "origin_unit_id string, destination_unit_id string, straight_distance_m double, drive_route_length_m double")
+    got = {r.node: r.betweenness for r in plans.queries()["sampled_betweenness"](spark, str(tmp_path)).collect()}
+    for c in "abcdefghij":  # all five nodes are sources: ordered pairs through the node, over 5
+        assert [round(got[f"{c}{i}"] * 5, 9) for i in range(5)] == [0, 6, 8, 6, 0]
+    assert len(got) == 130 and round(got["z0"] * 64, 6) in (63 * 78, 64 * 78)
