@@ -5,6 +5,7 @@ import math
 import random
 
 from gridloom import plans
+from gridloom.operators import linkage
 
 
 def table(spark, root, name, rows, schema):
@@ -76,3 +77,11 @@ def test_betweenness_draws_sources_in_every_component(spark, tmp_path):
     for c in "abcdefghij":  # all five nodes are sources: ordered pairs through the node, over 5
         assert [round(got[f"{c}{i}"] * 5, 9) for i in range(5)] == [0, 6, 8, 6, 0]
     assert len(got) == 130 and round(got["z0"] * 64, 6) in (63 * 78, 64 * 78)
+
+
+def test_linkage_scores_the_whole_block(spark):
+    c = spark.createDataFrame([(1, "Amsterdam", "X"), (2, "Berton", "X"), (3, "Qqqq", "X")], "c int, n string, k string")
+    r = spark.createDataFrame([(10, "Emsterdam", "X", 5.0), (11, "Burtan Hill", "X", 1.0), (12, "Corton", "X", 2.0), (13, "Hamsterdam", "Y", 9.0)], "r int, n string, k string, size double")
+    got = {x.c: x for x in linkage.match_in_blocks(c, r, "c", "n", "k", "r", "n", "k", "size").collect()}
+    assert (got[1].r, got[1].method, got[1].score) == (10, "low_confidence", 88.9)
+    assert (got[2].r, got[2].method) == (None, "unmatched") and all(x.alternatives.count(";") == 2 for x in got.values())
