@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.functions import clean, geo
 from gridloom.operators import rollup, stats
-from gridloom.plans.statistics import FIN, METRICS, _wmean, r6
+from gridloom.plans.statistics import FIN, METRICS, SQL_METRICS, _wmean, r6
 from gridloom.runtime import load
 
 QUERIES: dict = {}
@@ -59,7 +59,7 @@ def quality_base(spark, root):
     )
 
 
-@query(" UNION ALL ".join(f"SELECT '{m}' AS feature, count({FIN(m)}) AS n, round(avg({FIN(m)}), 6) AS mean, round(stddev_pop({FIN(m)}), 6) AS std, count({FIN(m)}) FILTER (WHERE sample_group = 'main') AS n_main, round(avg({FIN(m)}) FILTER (WHERE sample_group = 'main'), 6) AS mean_main FROM local_morphology_metrics" for m in METRICS))
+@query(" UNION ALL ".join(f"SELECT '{m}' AS feature, count({FIN(m)}) AS n, round(avg({FIN(m)}), 6) AS mean, round(stddev_pop({FIN(m)}), 6) AS std, count({FIN(m)}) FILTER (WHERE sample_group = 'main') AS n_main, round(avg({FIN(m)}) FILTER (WHERE sample_group = 'main'), 6) AS mean_main FROM local_morphology_metrics" for m in SQL_METRICS))
 def description_stats(spark, root):
     """Description of each feature over all rows and over the main sample, in one pass."""
     main = F.col("sample_group") == "main"

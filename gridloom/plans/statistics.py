@@ -8,7 +8,12 @@ from gridloom.functions import clean, geo
 from gridloom.operators import rollup, score, signature, stats
 from gridloom.runtime import load
 
-METRICS = ("edge_density_km_per_km2", "average_node_degree", "segment_length_median", "edge_circuity_mean")
+METRICS = (
+    "edge_density_km_per_km2", "node_density_per_km2", "intersection_density_per_km2", "average_node_degree", "four_way_share", "dead_end_share", "segment_length_mean", "segment_length_median", "segment_length_p90",
+    "edge_circuity_mean", "edge_circuity_median", "orientation_entropy", "orientation_order", "component_count", "giant_component_edge_share", "betweenness_gini", "road_hierarchy_entropy",
+)
+# The metrics that the SQL texts cover.
+SQL_METRICS = ("edge_density_km_per_km2", "average_node_degree", "segment_length_median", "edge_circuity_mean")
 TYPES = tuple(f"MT{i:02d}" for i in range(1, 11))
 QUERIES: dict = {}
 SQL: dict = {}
@@ -39,7 +44,7 @@ def _wmean(x: str, w: str) -> str:
     return f"CASE WHEN sum({fw}) > 0 THEN sum(({fw}) * {fx}) / nullif(sum({fw}), 0) ELSE avg({fx}) END"
 
 
-def _signature_sql(keys: str, table: str, metrics=METRICS) -> str:
+def _signature_sql(keys: str, table: str, metrics=SQL_METRICS) -> str:
     parts = []
     for m in metrics:
         x = f"CASE WHEN coalesce(valid_metric, false) THEN {FIN(m)} END"
@@ -69,21 +74,21 @@ sig AS (SELECT city_id, network_type, scale, count(CASE WHEN coalesce(valid_metr
 SELECT city_id, network_type, scale, coalesce(n, 0)::BIGINT AS n_valid FROM spine LEFT JOIN sig USING (city_id, network_type, scale)
 """)
 def signature_completeness(spark, root):
-    """Every key of the spine, with or without rows."""
+    """Every key of the spine and every metric, with or without rows."""
     m = load(spark, root, "local_morphology_metrics")
     spine = load(spark, root, "candidate_city").select("city_id").crossJoin(F.broadcast(m.select("network_type").distinct())).crossJoin(F.broadcast(m.select("scale").distinct()))  # a few codes
-    sig = signature.local_signature(m, KEYS3, [METRICS[0]], F.col("valid_metric"), "population_weight", spine)
-    return sig.where(F.col("statistic") == "n_valid").select(*KEYS3, F.col("value").cast("long").alias("n_valid"))
+    sig = signature.local_signature(m, KEYS3, list(METRICS), F.col("valid_metric"), "population_weight", spine)
+    return sig.where(F.col("statistic") == "n_valid").select(*KEYS3, "metric", F.col("value").cast("long").alias("n_valid"))
 
 
-@query(" UNION ALL ".join(f"SELECT unit_id, network_type, run_id, '{m}' AS metric, round(CASE WHEN coalesce(valid_metric, false) AND isfinite({m}) THEN {m} END, 6) AS value FROM local_morphology_metrics WHERE scale IN ('full_city', 'core_5km')" for m in METRICS))
+@query(" UNION ALL ".join(f"SELECT unit_id, network_type, run_id, '{m}' AS metric, round(CASE WHEN coalesce(valid_metric, false) AND isfinite({m}) THEN {m} END, 6) AS value FROM local_morphology_metrics WHERE scale IN ('full_city', 'core_5km')" for m in SQL_METRICS))
 def city_signature_long(spark, root):
     rows = load(spark, root, "local_morphology_metrics").where(F.col("scale").isin("full_city", "core_5km"))
     return signature.city_signature(rows, ["unit_id", "network_type", "run_id"], list(METRICS), F.col("valid_metric")).withColumn("value", F.round("value", 6))
 
 
 def _z_sql() -> str:
-    x = {m: FIN(m) for m in METRICS[:2]}
+    x = {m: FIN(m) for m in SQL_METRICS[:2]}
     fit = ", ".join(f"count({v}) AS n_{m}, avg({v}) AS m_{m}, stddev_pop({v}) AS s_{m}" for m, v in x.items())
     out = ", ".join(f"round(CASE WHEN n_{m} >= 2 AND s_{m} > 0 THEN ({v} - m_{m}) / s_{m} END, 6) + 0.0 AS {m}_z, CASE WHEN coalesce(n_{m}, 0) < 2 THEN 'too_few_fit_values' WHEN NOT (s_{m} > 0) THEN 'zero_std' WHEN {v} IS NULL THEN 'missing_value' ELSE 'ok' END AS {m}_status" for m, v in x.items())
     return f"WITH f AS (SELECT network_type, scale, {fit} FROM local_morphology_metrics WHERE sample_group = 'main' GROUP BY ALL) SELECT unit_id, t.network_type, t.scale, run_id, loaded_at, {out} FROM local_morphology_metrics t LEFT JOIN f ON t.network_type = f.network_type AND t.scale = f.scale"
@@ -91,7 +96,7 @@ def _z_sql() -> str:
 
 @query(_z_sql())
 def signature_z_core_fit(spark, root):
-    cols = list(METRICS[:2])
+    cols = list(METRICS)
     z = signature.standardize(load(spark, root, "local_morphology_metrics"), ["network_type", "scale"], cols, F.col("sample_group") == "main")
     return z.select("unit_id", "network_type", "scale", "run_id", "loaded_at", *[x for c in cols for x in (r6(f"{c}_z", f"{c}_z"), F.col(f"{c}_status"))])
 
@@ -409,7 +414,7 @@ def weighted_summary(spark, root):
     return s.select("network_type", "scale", "n", *[F.round(c, 6).alias(c) for c in s.columns if c.startswith("average")])
 
 
-@query(" UNION ALL ".join(f"SELECT '{m}' AS \"column\", count({FIN(m)}) AS n, round(avg({FIN(m)}), 6) AS mean, round(quantile_cont({FIN(m)}, 0.5), 6) AS median, round(quantile_cont({FIN(m)}, 0.9), 6) AS p90, round(max({FIN(m)}), 6) AS max FROM local_morphology_metrics" for m in METRICS))
+@query(" UNION ALL ".join(f"SELECT '{m}' AS \"column\", count({FIN(m)}) AS n, round(avg({FIN(m)}), 6) AS mean, round(quantile_cont({FIN(m)}, 0.5), 6) AS median, round(quantile_cont({FIN(m)}, 0.9), 6) AS p90, round(max({FIN(m)}), 6) AS max FROM local_morphology_metrics" for m in SQL_METRICS))
 def distribution_summary(spark, root):
     return stats.distribution(load(spark, root, "local_morphology_metrics"), list(METRICS)).select("column", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p90", "max")])
 

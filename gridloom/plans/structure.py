@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.functions import clean, geo, text
 from gridloom.operators import graph, linkage, model, rollup, spatial
-from gridloom.plans.statistics import r6
+from gridloom.plans.statistics import METRICS, r6
 from gridloom.runtime import load
 
 QUERIES: dict = {}
@@ -276,6 +276,7 @@ def model_by_type(spark, root):
 
 
 FEATURES = ["edge_density_km_per_km2_z", "average_node_degree_z", "four_way_share_z", "dead_end_share_z", "segment_length_mean_z", "orientation_order_z"]
+ALL_FEATURES = [f"{m}_z" for m in METRICS]
 _F = "(CASE WHEN isfinite({0}) THEN {0} END)".format
 
 
@@ -289,8 +290,8 @@ _Q = ", ".join(f"quantile_cont({_F(f)}, [0.005, 0.5, 0.995]) AS q_{f}" for f in
 
 @query(f"WITH q AS (SELECT {_Q} FROM local_morphotypes WHERE sample_group = 'main') SELECT unit_id, network_type, loaded_at, " + ", ".join(f"round(CASE WHEN {_F(f)} IS NULL THEN q_{f}[2] ELSE least(greatest({f}, q_{f}[1]), q_{f}[3]) END, 6) + 0.0 AS {f}" for f in FEATURES[:2]) + " FROM local_morphotypes, q")
 def impute_clip(spark, root):
-    m = model.impute_clip(load(spark, root, "local_morphotypes"), FEATURES[:2], F.col("sample_group") == "main")
-    return m.select("unit_id", "network_type", "loaded_at", *[r6(f, f) for f in FEATURES[:2]])
+    m = model.impute_clip(load(spark, root, "local_morphotypes"), ALL_FEATURES, F.col("sample_group") == "main")
+    return m.select("unit_id", "network_type", "loaded_at", *[r6(f, f) for f in ALL_FEATURES])
 
 
 def _reduced(spark, root) -> DataFrame:

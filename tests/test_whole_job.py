@@ -4,6 +4,8 @@ import heapq
 import math
 import random
 
+import pytest
+
 from gridloom import plans
 from gridloom.operators import linkage
 
@@ -85,3 +87,10 @@ def test_linkage_scores_the_whole_block(spark):
     got = {x.c: x for x in linkage.match_in_blocks(c, r, "c", "n", "k", "r", "n", "k", "size").collect()}
     assert (got[1].r, got[1].method, got[1].score) == (10, "low_confidence", 88.9)
     assert (got[2].r, got[2].method) == (None, "unmatched") and all(x.alternatives.count(";") == 2 for x in got.values())
+
+
+@pytest.mark.parametrize("name", ["scale_signature_long", "city_signature_long", "signature_completeness", "description_stats", "distribution_summary", "signature_z_core_fit", "impute_clip"])
+def test_all_17_metrics(spark, name):
+    df = plans.queries()[name](spark, "/root/testdata/sf0.001")
+    column = next((c for c in ("metric", "column", "feature") if c in df.columns), None)
+    assert (df.select(column).distinct().count() if column else sum(c.endswith("_z") for c in df.columns)) == 17
