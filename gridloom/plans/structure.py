@@ -295,8 +295,8 @@ def impute_clip(spark, root):
 
 
 def _reduced(spark, root) -> DataFrame:
-    rows = model.impute_clip(load(spark, root, "local_morphotypes").select("unit_id", "network_type", "sample_group", "loaded_at", *FEATURES), FEATURES, F.col("sample_group") == "main")
-    return model.pca(rows, FEATURES, 0.85, 3, 5)[0]
+    rows = model.impute_clip(load(spark, root, "local_morphotypes").select("unit_id", "network_type", "sample_group", "loaded_at", *ALL_FEATURES), ALL_FEATURES, F.col("sample_group") == "main")
+    return model.pca(rows, ALL_FEATURES, 0.85, 3, 8)[0]
 
 
 @query(None)
@@ -310,8 +310,10 @@ def gmm_typology(spark, root):
     """Mixture with the number of clusters by BIC, all units assigned with probability and margin."""
     out = _reduced(spark, root)
     pcs = [c for c in out.columns if c.startswith("pc")]
-    rows, models = model.mixture_grid(out.where(F.col("sample_group") == "main"), pcs, [3, 4], max_iter=15)
-    return model.assign(out, models[model.choose_k(rows)], pcs).select("unit_id", "network_type", "loaded_at", "cluster", "probability", "margin")
+    main = out.where(F.col("sample_group") == "main")
+    k = model.choose_k(model.mixture_grid(main, pcs, list(range(4, 11)), seeds=[1, 2, 3])[0])
+    fit = model.mixture_grid(main, pcs, [k], seeds=[1, 2, 3, 4, 5])[1][k]
+    return model.assign(out, fit, pcs).select("unit_id", "network_type", "loaded_at", "cluster", "probability", "margin")
 
 
 # contracts

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from gridloom import plans
-from gridloom.operators import linkage
+from gridloom.operators import linkage, model
 
 
 def table(spark, root, name, rows, schema):
@@ -94,3 +94,15 @@ def test_all_17_metrics(spark, name):
     df = plans.queries()[name](spark, "/root/testdata/sf0.001")
     column = next((c for c in ("metric", "column", "feature") if c in df.columns), None)
     assert (df.select(column).distinct().count() if column else sum(c.endswith("_z") for c in df.columns)) == 17
+
+
+def test_typology_searches_the_whole_grid(spark, monkeypatch):
+    real, seen = model.mixture_grid, []
+
+    def small(df, features, ks, seeds=(1,), min_share=0.01, max_iter=30):
+        seen.append((len(features), list(ks), len(seeds), max_iter))
+        return real(df, features, [ks[0]], [1], min_share, 1)
+
+    monkeypatch.setattr(model, "mixture_grid", small)
+    plans.queries()["gmm_typology"](spark, "/root/testdata/sf0.001")
+    assert [x[1:] for x in seen] == [([4, 5, 6, 7, 8, 9, 10], 3, 30), ([4], 5, 30)] and all(3 <= x[0] <= 8 for x in seen)
