@@ -3,10 +3,10 @@ lost executors cost one step."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridloom.functions.clean import seed_of
-from gridloom.runtime import materialize
+from gridloom.runtime import materialize, release
 
 
 def segments(ways: DataFrame, way: str, order: str, node: str) -> DataFrame:
@@ -32,10 +32,11 @@ def degree(edges: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, hub: int = 1_000_000) -> DataFrame:
     """(node, component), component = its least node. Alternates large-star and small-star steps until nothing changes.
 
-    A step sends each node's neighbours to its least neighbour, so hubs are met once, not once per pair.
+    A step sends each node's neighbours to its least neighbour, so hubs are met once, not once per pair. The edges of a node
+    with more than `hub` of them, as the least node of a large component gets, are dealt to several tasks.
     """
     e = materialize(edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct(), "cc")
     everyone = both_ways(e).select(F.col("u").alias("node"))
@@ -43,23 +44,36 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         everyone = everyone.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
     everyone = materialize(everyone.where(F.col("node").isNotNull()).distinct(), "cc")
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, hubs: DataFrame | None) -> DataFrame:
         pairs = both_ways(e) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        j = pairs.join(least, "u")
+        if hubs is None:
+            j = pairs.join(least, "u")
+        else:  # a hub's neighbours are dealt to its shards, its row goes to each of them
+            dealt = pairs.join(F.broadcast(hubs), "u", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("v"), F.col("shards")), F.lit(0))).drop("shards")
+            copied = least.join(F.broadcast(hubs), "u", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("shards") - 1, F.lit(0))))).drop("shards")
+            j = dealt.join(copied, ["u", "shard"])
         if large:
             out = j.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return out.where(F.col("u") != F.col("v")).distinct()
 
-    before = None
+    def hubs_of(e: DataFrame, edges: int) -> DataFrame | None:
+        """(u, shards) of the nodes with more than `hub` edges, at most 2 x edges / hub of them."""
+        if edges <= hub:
+            return None
+        found = both_ways(e).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("u", F.ceil(F.col("n") / hub).alias("shards")).collect()
+        return e.sparkSession.createDataFrame(found, T.StructType([T.StructField("u", e.schema["u"].dataType), T.StructField("shards", T.LongType())])) if found else None
+
+    before, edges_now = None, e.count()
     while True:
-        e = materialize(star(star(e, True), False), "cc")
+        middle = materialize(star(e, True, hubs_of(e, edges_now)), "cc", after=e)
+        e = materialize(star(middle, False, hubs_of(middle, edges_now)), "cc", after=middle)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, edges_now = now, now[0]
     label = both_ways(e).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
     return everyone.join(label, "node", "left").select("node", F.least(F.coalesce("m", "node"), F.col("node")).alias("component"))
 
@@ -91,10 +105,10 @@ def shortest(edges: DataFrame, sources: DataFrame, length: str, cutoff: float |
             step = step.where(F.col("d") <= cutoff)
         step = step.groupBy("source", "node").agg(F.min("d").alias("d"))
         old = best.withColumnRenamed("d", "d0")
-        front = materialize(step.join(old, ["source", "node"], "left").where(F.col("d0").isNull() | (F.col("d") < F.col("d0"))).select("source", "node", "d"), "sp")
+        front = materialize(step.join(old, ["source", "node"], "left").where(F.col("d0").isNull() | (F.col("d") < F.col("d0"))).select("source", "node", "d"), "sp", after=front if front is not best else None)
         if front.isEmpty():
             return best.select("source", "node", F.col("d").alias("distance"))
-        best = materialize(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "sp")
+        best = materialize(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "sp", after=best)
 
 
 def routes(e: DataFrame, best: DataFrame, targets: DataFrame, cutoff: float | None = None) -> DataFrame:
@@ -105,7 +119,7 @@ def routes(e: DataFrame, best: DataFrame, targets: DataFrame, cutoff: float | No
     in is not reached. The slack of a micrometre keeps sums that are rounded.
     """
     shortest_in = e.groupBy(F.col("v").alias("node")).agg(F.min("w").alias("last"))
-    e = materialize(e.groupBy("u", "v").agg(F.min("w").alias("w")).join(e.groupBy(F.col("u").alias("v")).agg(F.min("w").alias("onward")), "v", "left"), "sp")
+    e = materialize(e.groupBy("u", "v").agg(F.min("w").alias("w")).join(e.groupBy(F.col("u").alias("v")).agg(F.min("w").alias("onward")), "v", "left"), "sp", after=e)
     goals = materialize(targets.select("source", "node").distinct().join(shortest_in, "node"), "sp")
     front = best
     while True:
@@ -119,10 +133,11 @@ def routes(e: DataFrame, best: DataFrame, targets: DataFrame, cutoff: float | No
         useful = F.col("last").isNotNull() | ((F.col("d") < F.col("limit")) & (F.col("d") + F.col("onward") < F.col("most") + 1e-6))
         step = step.join(goals, ["source", "node"], "left").where(useful)
         old = best.withColumnRenamed("d", "d0")
-        front = materialize(step.join(old, ["source", "node"], "left").where(F.col("d0").isNull() | (F.col("d") < F.col("d0"))).select("source", "node", "d"), "sp")
+        front = materialize(step.join(old, ["source", "node"], "left").where(F.col("d0").isNull() | (F.col("d") < F.col("d0"))).select("source", "node", "d"), "sp", after=front if front is not best else None)
+        release(bound)
         if front.isEmpty():
             return best.join(goals, ["source", "node"], "left_semi").select("source", "node", F.col("d").alias("distance"))
-        best = materialize(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "sp")
+        best = materialize(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "sp", after=best)
 
 
 def route_pairs(pairs: DataFrame, paths: DataFrame, origin: str, destination: str, straight: str) -> DataFrame:
@@ -176,11 +191,11 @@ def betweenness(edges: DataFrame, k: int | None = None, seed: int = 1) -> DataFr
     front, level = seen, 0
     while True:
         reach = front.join(e, F.col("node") == F.col("u")).groupBy("s", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = materialize(reach.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(level + 1).alias("lv"), "paths"), "bt")
+        front = materialize(reach.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(level + 1).alias("lv"), "paths"), "bt", after=front if front is not seen else None)
         if front.isEmpty():
             break
         level += 1
-        seen = materialize(seen.unionByName(front), "bt")
+        seen = materialize(seen.unionByName(front), "bt", after=seen)
     delta = materialize(seen.where(F.col("lv") == level).select("s", "node", F.lit(0.0).alias("dep")), "bt")
     done = delta
     for lv in range(level, 0, -1):

@@ -15,7 +15,9 @@ import heapq
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.runtime import free_names
 
@@ -37,50 +39,58 @@ class LoadPlan:
 
 
 def plan_loads(df: DataFrame, key: str, tasks: int | None = None, heavy_share: float = 0.25) -> LoadPlan:
-    """Count loads per key and pack them. Null keys are not planned: they match nothing and are spread by their rows' hashes."""
+    """Count loads per key and pack them. Null keys are not planned: they match nothing and are spread by row.
+
+    Loads are counted over all rows, combined before they are shuffled. What reaches the driver is bounded by the tasks: the
+    rows of each task if every key stood unsplit, and the keys above the limit, of which there are at most tasks / heavy_share.
+    """
     spark = df.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_key = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    # one pass: rows per task if every key stood unsplit, and the keys that could be heavy; both bounded by the tasks
-    by_task = per_key.groupBy(F.when(F.col("k").isNull(), -1).otherwise(F.pmod(F.hash(F.lit(0), "k"), F.lit(tasks))).alias("t")).agg(F.sum("n").alias("n")).collect()
-    rows = sum(r.n for r in by_task)
-    by_task = [r for r in by_task if r.t >= 0]
-    total = sum(r.n for r in by_task)
-    limit = max(1, math.ceil(heavy_share * total / tasks))
-    big = per_key.where(F.col("k").isNotNull() & (F.col("n") > limit)).collect() if total else []  # at most tasks / heavy_share keys
+    keyed = df.select(F.col(key).alias("k"))
+    size = keyed.agg(F.count("*").alias("rows"), F.count("k").alias("total")).collect()[0]
+    if not size.total:
+        return LoadPlan(tasks, 0, [], [0] * tasks, size.rows)
+    limit = max(1, math.ceil(heavy_share * size.total / tasks))
+    big = F.when(F.col("n") > limit, F.struct("k", "n"))
+    counted = keyed.where(F.col("k").isNotNull()).groupBy("k").agg(F.count("*").alias("n"))
+    by_task = counted.groupBy(F.pmod(F.hash(F.lit(0), "k"), F.lit(tasks)).alias("t")).agg(F.sum("n").alias("n"), F.collect_list(big).alias("big")).collect()
     loads = [0] * tasks
+    found: list[tuple[object, int]] = []
     for r in by_task:
-        loads[r.t] += r.n
-    if not big:
-        return LoadPlan(tasks, total, [], loads, rows)
-    schema = T.StructType([T.StructField("k", df.schema[key].dataType)])
-    keys = spark.createDataFrame([(r.k,) for r in big], schema)
-    # slots of each heavy key by the task they lead to
+        loads[r.t] += r.n - sum(x.n for x in r.big)
+        found += [(x.k, x.n) for x in r.big]
+    if not found:
+        return LoadPlan(tasks, size.total, [], loads, size.rows)
+    # for each heavy key, the smallest slot that leads to each task
+    keys = _table(spark, {"k": [k for k, _ in found]}, T.StructType([T.StructField("k", df.schema[key].dataType)]))
+    reach = F.transform(F.sequence(F.lit(1), F.lit(12 * tasks)), lambda slot: F.pmod(F.hash(slot, F.col("k")), F.lit(tasks)))
     slot_of: dict[object, dict[int, int]] = {}
-    slots = keys.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(12 * tasks))))
-    for r in slots.groupBy("k", F.pmod(F.hash("slot", "k"), F.lit(tasks)).alias("t")).agg(F.min("slot").alias("slot")).collect():
-        slot_of.setdefault(r.k, {})[r.t] = r.slot
-    home = {r.k: r.t for r in keys.select("k", F.pmod(F.hash(F.lit(0), "k"), F.lit(tasks)).alias("t")).collect()}
-    for r in big:
-        loads[home[r.k]] -= r.n
+    for r in keys.coalesce(1).select("k", reach.alias("t")).collect():
+        for slot, t in enumerate(r.t, 1):
+            slot_of.setdefault(r.k, {}).setdefault(t, slot)
     heap = [(n, t) for t, n in enumerate(loads)]
     heapq.heapify(heap)
     heavy = []
-    for r in sorted(big, key=lambda r: (-r.n, str(r.k))):
-        shards, chosen, skipped = math.ceil(r.n / limit), [], []
+    for k, n in sorted(found, key=lambda x: (-x[1], str(x[0]))):
+        shards, chosen, skipped = math.ceil(n / limit), [], []
         for _ in range(shards):
-            while heap and heap[0][1] not in slot_of[r.k]:
+            while heap and heap[0][1] not in slot_of[k]:
                 skipped.append(heapq.heappop(heap))
             if not heap:
                 break
-            n, t = heapq.heappop(heap)
-            chosen.append(slot_of[r.k][t])
-            loads[t] += math.ceil(r.n / shards)
-            heapq.heappush(heap, (n + math.ceil(r.n / shards), t))
+            m, t = heapq.heappop(heap)
+            chosen.append(slot_of[k][t])
+            loads[t] += math.ceil(n / shards)
+            heapq.heappush(heap, (m + math.ceil(n / shards), t))
         for x in skipped:
             heapq.heappush(heap, x)
-        heavy.append((r.k, r.n, chosen or [0]))
-    return LoadPlan(tasks, total, heavy, loads, rows)
+        heavy.append((k, n, chosen or [0]))
+    return LoadPlan(tasks, size.total, heavy, loads, size.rows)
+
+
+def _table(spark: SparkSession, columns: dict[str, list], schema: T.StructType) -> DataFrame:
+    """A small table made without a Python worker."""
+    return spark.createDataFrame(pa.table({f.name: pa.array(columns[f.name], to_arrow_type(f.dataType)) for f in schema}), schema)
 
 
 def _slots(df: DataFrame, key: str, plan: LoadPlan, name: str) -> DataFrame:
@@ -89,20 +99,24 @@ def _slots(df: DataFrame, key: str, plan: LoadPlan, name: str) -> DataFrame:
     if not plan.heavy:
         return df.withColumn(name, F.lit(None).cast("array<int>"))
     schema = T.StructType([T.StructField(k_, df.schema[key].dataType), T.StructField(name, T.ArrayType(T.IntegerType()))])
-    table = df.sparkSession.createDataFrame([(k, slots) for k, _, slots in plan.heavy], schema)
+    table = _table(df.sparkSession, {k_: [k for k, _, _ in plan.heavy], name: [slots for _, _, slots in plan.heavy]}, schema)
     return df.join(F.broadcast(table), df[key] == table[k_], "left").drop(k_)
 
 
-def fragment(df: DataFrame, key: str, plan: LoadPlan, slot: str) -> DataFrame:
-    """Adds the slot of each row: one of its heavy key's, by the row's hash; 0 for light keys; spread for null keys."""
+def fragment(df: DataFrame, key: str, plan: LoadPlan, slot: str, spread: list[str] | None = None) -> DataFrame:
+    """Adds the slot of each row: one of its heavy key's, 0 for light keys, any for null keys.
+
+    Rows of a key are dealt to its slots by a hash of `spread`, columns that tell rows apart, or else of their place in the
+    input, so that equal rows are spread like others. The place is the same when a task of a scan is repeated; rows that come
+    out of a shuffle have no fixed place and need `spread`, or to be written first.
+    """
     s_ = free_names(df, "__slots")[0]
-    plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]  # maps have no hash
-    h = F.xxhash64(*plain) if plain else F.lit(0)
-    row = F.pmod(h, F.lit(1 << 30)).cast("int")
+    row = F.pmod(F.xxhash64(*([F.col(f"`{c}`") for c in spread] if spread else [F.monotonically_increasing_id()])), F.lit(1 << 30)).cast("int")
+    r_ = free_names(df, "__row")[0]
     return (
-        _slots(df, key, plan, s_)
-        .withColumn(slot, F.when(F.col(key).isNull(), row).when(F.col(s_).isNull(), F.lit(0)).otherwise(F.get(F.col(s_), row % F.size(s_))))
-        .drop(s_)
+        _slots(df.withColumn(r_, row), key, plan, s_)
+        .withColumn(slot, F.when(F.col(key).isNull(), F.col(r_)).when(F.col(s_).isNull(), F.lit(0)).otherwise(F.get(F.col(s_), F.col(r_) % F.size(s_))))
+        .drop(s_, r_)
     )
 
 
@@ -112,10 +126,11 @@ def replicate(df: DataFrame, key: str, plan: LoadPlan, slot: str) -> DataFrame:
     return _slots(df, key, plan, s_).withColumn(slot, F.explode(F.coalesce(F.array_distinct(s_), F.array(F.lit(0))))).drop(s_)
 
 
-def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", plan: LoadPlan | None = None) -> DataFrame:
+def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", plan: LoadPlan | None = None, spread: list[str] | None = None) -> DataFrame:
     """Equi-join on `key` (inner, left, left_semi or left_anti) in which no task gets more than its share of a heavy key of `left`.
 
     Other columns of `right` whose names clash with columns of `left` get the suffix `_right`. Null keys match nothing.
+    spread: see `fragment`. Adaptive execution may merge tasks again, but only up to its advisory size.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the replicated side may not be preserved: its copies would come out repeatedly")
@@ -131,12 +146,15 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: st
     slot = "__slot"
     while slot in left.columns or slot in right.columns:
         slot = "_" + slot
-    return fragment(left, key, plan, slot).join(replicate(right, key, plan, slot), [slot, key], how).drop(slot)
+    return fragment(left, key, plan, slot, spread).join(replicate(right, key, plan, slot), [slot, key], how).drop(slot)
 
 
-def per_key(df: DataFrame, key: str, partial: list[Column], merge: list[Column], plan: LoadPlan | None = None) -> DataFrame:
-    """Results per key (null keys are a group too), computed in two steps: `partial` per shard, `merge` per key over the shards' rows."""
+def per_key(df: DataFrame, key: str, partial: list[Column], merge: list[Column], plan: LoadPlan | None = None, spread: list[str] | None = None) -> DataFrame:
+    """Results per key (null keys are a group too), computed in two steps: `partial` per shard, `merge` per key over the shards' rows.
+
+    At most as many rows of a key as it has shards reach the task that merges it. spread: see `fragment`.
+    """
     plan = plan or plan_loads(df, key)
     slot = free_names(df, "__slot")[0]
-    spread = F.when(F.col(key).isNull(), F.pmod(F.col(slot), F.lit(plan.tasks))).otherwise(F.col(slot))
-    return fragment(df, key, plan, slot).withColumn(slot, spread).groupBy(slot, key).agg(*partial).groupBy(key).agg(*merge)
+    placed = F.when(F.col(key).isNull(), F.pmod(F.col(slot), F.lit(plan.tasks))).otherwise(F.col(slot))
+    return fragment(df, key, plan, slot, spread).withColumn(slot, placed).groupBy(slot, key).agg(*partial).groupBy(key).agg(*merge)

@@ -51,11 +51,13 @@ def p5_city_results(spark: SparkSession, root: str) -> DataFrame:
         [F.count("*").alias("n"), F.count_if("valid_metric").alias("v"), F.sum("edge_count").alias("e")],
         [F.sum("n").alias("metric_rows"), F.sum("v").alias("valid_rows"), F.sum("e").alias("edges")],
     ).where(F.col("city_id").isNotNull())
-    joined = skew.fragment_replicate_join(od, city, "city_id", "left")
+    plan = skew.plan_loads(od, "city_id")
+    joined = skew.fragment_replicate_join(od, city, "city_id", "left", plan, ["od_id"])
     return skew.per_key(
         joined, "city_id",
         [F.count("*").alias("n"), F.count_if("route_found").alias("r"), F.sum("straight_distance_m").alias("d"), F.max("metric_rows").alias("m"), F.max("valid_rows").alias("v"), F.max("edges").alias("e")],
         [F.sum("n").alias("od_rows"), F.sum("r").alias("routed_rows"), F.round(F.sum("d") / 1000.0, 3).alias("straight_km"), F.max("m").alias("metric_rows"), F.max("v").alias("valid_rows"), F.round(F.max("e"), 3).alias("edges")],
+        plan, ["od_id"],
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,24 +20,54 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where the setting is absent (tests only)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        folder = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        where = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+_written: dict[str, SparkSession] = {}
+
+
+def materialize(df: DataFrame, label: str = "stage", after: DataFrame | None = None) -> DataFrame:
     """Write `df` once into the shared folder and read it back.
 
-    Cuts lineage, survives the loss of executors, and evaluates the plan exactly once (a checkpoint() of an
-    uncached plan would evaluate it twice). The files belong to the job; the folder is cleaned with it.
+    Cuts lineage, survives the loss of executors, and evaluates the plan exactly once (a checkpoint() of an uncached plan may
+    evaluate it twice). The files stay for as long as results may read them: until `release`, or the end of the process.
+    after: a stage that nothing but `df` still reads, such as the step before in an iteration; its files go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if after is not None:
+        release(after)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gridloom_stage = path
+    return out
+
+
+def release(stage: DataFrame | None = None) -> None:
+    """Delete the files of a stage made by `materialize`, or of all stages of this process. Call it when no result reads them any more."""
+    path = getattr(stage, "_gridloom_stage", None)
+    for p in [path] if path else list(_written) if stage is None else []:
+        spark = _written.pop(p, None)
+        if spark is not None:
+            try:
+                jvm = spark.sparkContext._jvm
+                jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(p), True)
+            except Exception:  # the session is gone; a folder of our own goes by atexit, one of the cluster with the job
+                pass
+
+
+atexit.register(release)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -43,3 +43,31 @@ def test_empty_and_clashing_names(spark):
     some = spark.createDataFrame([("a", 1, 2, 3)] * 50, df.schema)
     assert skew.per_key(some, "key", [F.count("*").alias("n")], [F.sum("n").alias("n")]).collect()[0].n == 50
     assert skew.fragment_replicate_join(some, some.limit(1), "key").count() == 50
+
+
+def test_equal_rows_of_a_heavy_key_use_all_its_slots(spark):
+    rows = data(spark).select("key").repartition(3).sortWithinPartitions("key")
+    plan = skew.plan_loads(rows, "key", tasks=16)
+    f = skew.fragment(rows.where("key is not null"), "key", plan, "slot")
+    for key, _, slots in plan.heavy:
+        assert {r.slot for r in f.where(F.col("key") == key).select("slot").distinct().collect()} == set(slots)
+    loads = [r.n for r in f.groupBy(F.pmod(F.hash("slot", "key"), F.lit(16)).alias("t")).agg(F.count("*").alias("n")).collect()]
+    assert max(loads) < 1.5 * sum(loads) / 16
+
+
+def test_shuffled_join_is_even_without_broadcast_and_under_adaptive_execution(spark):
+    df = data(spark).where("key is not null")
+    right = df.select("key").distinct().withColumn("label", F.upper("key"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b")
+    try:
+        plan = skew.plan_loads(df, "key")
+        joined = skew.fragment_replicate_join(df, right, "key", "inner", plan, ["x"])
+        loads = [r.n for r in joined.groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()]
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sum(loads) == 12000 and max(loads) < 1.5 * 12000 / len(loads) and joined.where("label <> upper(key)").isEmpty()
+    finally:
+        for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.minPartitionSize"):
+            spark.conf.unset(c)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
