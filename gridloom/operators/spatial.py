@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions import geo
-from gridloom.operators.near import EARTH_M, near_pairs
-from gridloom.runtime import materialize
+from gridloom.operators.near import nearest_points
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str, lat: str, ring: str, cell: float = 0.25) -> DataFrame:
@@ -57,23 +54,6 @@ def clip_to_cells(segments: DataFrame, x0: str, y0: str, x1: str, y1: str, cell:
     return s.withColumn("part", part).where(F.col("part") > 0)
 
 
-def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, query_at: tuple[str, str], point_at: tuple[str, str], first_m: float = 500.0) -> DataFrame:
-    """(query id, point id, distance_m) of the nearest point of each query, the smaller id on ties; for valid places only.
-
-    Radius joins with growing radius, each for the queries that found nothing before, so dense areas stay cheap.
-    """
-    found, left, r = [], queries.where(geo_valid(query_at)).select(query_id, *query_at).distinct(), first_m
-    pts = points.where(geo_valid(point_at)).select(point_id, *point_at).distinct()
-    while True:
-        pairs = near_pairs(left, pts, r, query_id=query_id, point_id=point_id, query_at=query_at, point_at=point_at)
-        best = materialize(pairs.groupBy(query_id).agg(F.min(F.struct("distance_m", point_id)).alias("b")).select(query_id, f"b.{point_id}", "b.distance_m"), "nearest")
-        found.append(best)
-        left = materialize(left.join(best, query_id, "left_anti"), "left")
-        if r > EARTH_M * 3.2 or left.isEmpty() or pts.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        r *= 8
-
-
-def geo_valid(at: tuple[str, str]) -> Column:
-    lon, lat = F.col(at[0]), F.col(at[1])
-    return lon.between(-180, 180) & lat.between(-90, 90) & ~((lon == 0) & (lat == 0))
+def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, query_at: tuple[str, str], point_at: tuple[str, str]) -> DataFrame:
+    """(query id, point id, distance_m) of the nearest point of each query, see `near.nearest_points`."""
+    return nearest_points(queries, points, query_id=query_id, point_id=point_id, query_at=query_at, point_at=point_at)
