@@ -38,12 +38,13 @@ MARKS = re.compile(r"[;,|/\t\n\"\\]")
 BRACKETED = re.compile(r"\[[^\]]*\]|\([^)]*\)")
 #: Bits of one choice of dialect, of each further separator kind, of a void element.
 DIALECT_BITS, KIND_BITS, BLANK_BITS, SEP_BITS, QUOTE_BITS = 2.0, 3.0, 1.0, 1.0, 1.5
+#: Parts into which one use of a word is divided among the candidates of a field.
+SHARES = 1 << 30
 #: Bits of a protected separator inside a value.
 PROTECTED_BITS = 4.0
 
 PARSE = T.StructType([
     T.StructField("dialect", T.StringType()),
-    T.StructField("names", T.ArrayType(T.StringType())),
     T.StructField("coded", T.ArrayType(T.StringType())),
     T.StructField("bits", T.DoubleType()),
 ])
@@ -195,7 +196,7 @@ def candidate_parses(text: str) -> list[dict]:
 
 @F.pandas_udf(T.ArrayType(PARSE))
 def _candidates(fields: pd.Series) -> pd.Series:
-    return fields.map(candidate_parses)
+    return fields.map(lambda f: [(p["dialect"], p["coded"], p["bits"]) for p in candidate_parses(f)])
 
 
 def char_class(c: str) -> str:
@@ -271,12 +272,12 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
         if c.lower() in (pos.lower(), value.lower()):
             new = free_names(df, "_" + c)[0]
             df, field = df.withColumnRenamed(c, new), new if c == field else field
-    f_, c_, p_, n_ = free_names(df, "__field", "__cands", "__parse", "__n")
+    f_, p_, n_ = free_names(df, "__field", "__parse", "__n")
     tasks = parallelism(df.sparkSession)  # few bytes cost much Python here, so partitions must not be merged by size
     fields = df.select(F.col(field).alias("f")).where(F.col("f").isNotNull() & (F.trim("f") != "")).groupBy("f").agg(F.lit(1).alias("one")).repartition(tasks, "f")
-    # parsed once and written without what scoring does not need; dictionary encoding makes the repeated values cheap
-    found = fields.select(_key(F.col("f")).alias("f"), _candidates("f").alias("c"))
-    parsed = materialize(found.select("f", F.transform("c", lambda p: F.struct(p["coded"].alias("coded"), p["bits"].alias("bits"))).alias("c")), "parses")
+    # every candidate of a distinct field is parsed once and written as it is coded; values come from one more parse, by the chosen dialect
+    found = fields.select(_key(F.col("f")).alias("f"), F.when(F.col("f") != _key(F.col("f")), F.col("f")).alias("text"), _candidates("f").alias("c"))
+    parsed = materialize(found, "parses")
     sure = parsed.where(F.size("c") == 1)
     rows = sure.select(F.col("c")[0]["coded"].alias("coded")).mapInPandas(_count_transitions, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
     code = df.sparkSession.sparkContext.broadcast({(r.a, r.b): r.n for r in rows})  # classes squared at most, whatever the corpus
@@ -294,7 +295,7 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
     # a dictionary entry counts once per parse of a field; equal words are added up before they are shuffled
     words = (
         each.select("of", F.explode(F.array_distinct("units")).alias("word"))
-        .groupBy("word").agg(F.greatest(F.lit(1.0), F.sum(1.0 / F.col("of"))).alias("uses"))
+        .groupBy("word").agg(F.greatest(F.lit(1.0), F.sum((F.lit(SHARES) / F.col("of")).cast("long")) / SHARES).alias("uses"))  # whole numbers: the same sum in any order
         .repartition(tasks, "word")
         .withColumn("spell", spelled("word"))
     )
@@ -306,11 +307,11 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
         .groupBy("f", "cid").agg((F.first("bits") + F.coalesce(F.sum("vbits"), F.lit(0.0)) + PROTECTED_BITS * F.greatest(F.first("inner"), F.lit(0))).alias("dl"))
         .groupBy("f").agg(F.min_by("cid", F.struct("dl", "cid")).alias("cid"))
     )
-    chosen = scored.select(F.col("f").alias(f_), F.col("cid").alias(c_))
+    chosen = parsed.select("f", "text", F.col("c.dialect").alias("d")).join(scored, "f", "left").select("f", F.coalesce("text", "f").alias("text"), F.col("d")[F.coalesce("cid", F.lit(0))].alias("d"))
+    named = chosen.repartition(tasks, "f").select(F.col("f").alias(f_), _parsed("text", "d").alias(p_))
     base = df.where(F.col(field).isNotNull() & (F.trim(F.col(field)) != ""))
     return (
-        base.join(chosen, _key(F.col(field)) == F.col(f_), "left")
-        .withColumn(p_, _pick(F.col(field), F.coalesce(F.col(c_), F.lit(0))))
+        base.join(named, _key(F.col(field)) == F.col(f_))
         .select(*df.columns, F.posexplode(p_).alias(n_, value))
         .withColumn(pos, (F.col(n_) + 1).cast("int"))
         .select(*df.columns, pos, value)
@@ -318,9 +319,10 @@ def unpack(df: DataFrame, field: str, pos: str = "pos", value: str = "value") ->
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _pick(fields: pd.Series, which: pd.Series) -> pd.Series:
-    """The values of the chosen candidate; candidates come in the same order each time."""
-    return pd.Series([candidate_parses(f)[int(k)]["names"] for f, k in zip(fields, which)], dtype=object)
+def _parsed(fields: pd.Series, dialect: pd.Series) -> pd.Series:
+    """The values of each field by its dialect."""
+    read = {d: json.loads(d) for d in dialect.unique()}
+    return pd.Series([parse_with(f, tuple(read[d][0]), read[d][1])[0] for f, d in zip(fields, dialect)], dtype=object)
 
 
 def _key(field: Column) -> Column:
