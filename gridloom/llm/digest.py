@@ -3,10 +3,14 @@
 Values are quantized to an ordered universe: the first `BITS` bits of the order-preserving image of a double, so
 neighbouring values of the universe differ by less than one part in 2^(BITS-12). A digest is a set of counts on nodes of
 the dyadic tree over the universe; node = 2^(BITS-level) + (value >> level), the root is 1. It is compressed from the
-leaves upward: siblings whose counts together with their parent's are at most n/k move into the parent, so at most 3 k
-nodes remain. Digests of partitions, runs or days are merged by adding the counts of equal nodes. A rank is wrong by at
-most BITS * n / k, whatever the values, their order or the way they were merged; digests of at most k values are exact
-on the universe.
+leaves upward: siblings whose counts together with their parent's are at most floor(n/k) move into the parent, so at most
+3 k nodes remain. Digests of partitions, runs or days are merged by adding the counts of equal nodes.
+
+The invariant: no inner node holds more than floor(n/k). A digest of raw values has it, as its inner nodes are empty;
+addition keeps it, as floor(a/k) + floor(b/k) <= floor((a+b)/k); compression keeps it, as what moves into a parent is at
+most floor(n/k) with what the parent held, provided that it sees the whole family. Only values in the BITS ancestors of a
+leaf can be to either side of it, so a rank is wrong by at most BITS * floor(n/k), whatever the values, their order or the
+way they were merged; digests of less than k values are exact on the universe.
 """
 
 from __future__ import annotations
@@ -17,7 +21,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from gridloom.runtime import BROADCAST_ROWS, materialize
+
 BITS = 32
+CUT = 20  # depth of the subtrees that are compressed apart
 COMPRESSION = 6400  # rank error at most 32 / 6400 = 0.5 %
 PROBS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 HELD = 2_000_000
@@ -45,15 +52,14 @@ def add(nodes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def compress(nodes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Move small families upward, level by level. Expects one count per node; needs no change below k values."""
-    limit = int(counts.sum()) // k
+def compress(nodes: np.ndarray, counts: np.ndarray, limit: int, top: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Move families of at most `limit` upward, level by level, as far as depth `top`. Expects one count per node and whole subtrees of that depth."""
     if limit == 0 or len(nodes) <= 3:
         return nodes, counts
     kept_n, kept_c = [], []
     depth = np.frexp(nodes.astype(np.float64))[1] - 1  # leaves have depth BITS, the root 0
     carry_n, carry_c = np.empty(0, np.int64), np.empty(0, np.int64)
-    for level in range(BITS, 0, -1):
+    for level in range(BITS, top, -1):
         here = depth == level
         n, c = add(np.concatenate((nodes[here], carry_n)), np.concatenate((counts[here], carry_c)))
         if not len(n):
@@ -70,8 +76,8 @@ def compress(nodes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
         kept_n.append(n[~moves])
         kept_c.append(c[~moves])
         carry_n, carry_c = n[moves] >> 1, c[moves]
-    root = depth == 0
-    n, c = add(np.concatenate((nodes[root], carry_n, *kept_n)), np.concatenate((counts[root], carry_c, *kept_c)))
+    above = depth <= top
+    n, c = add(np.concatenate((nodes[above], carry_n, *kept_n)), np.concatenate((counts[above], carry_c, *kept_c)))
     return n, c
 
 
@@ -101,7 +107,7 @@ def _partials(keys: list[str], columns: list[str], k: int):
                 return whole
             out = [whole[~large]]
             for _, g in whole[large].groupby([*keys, "metric"], dropna=False, sort=False):
-                n, c = compress(*add(g["node"].to_numpy(), g["count"].to_numpy()), k)
+                n, c = compress(*add(g["node"].to_numpy(), g["count"].to_numpy()), int(g["count"].sum()) // k)
                 part = g.iloc[:1].drop(columns=["node", "count"]).loc[lambda d: d.index.repeat(len(n))]
                 out.append(part.assign(node=n, count=c))
             return pd.concat(out)
@@ -136,11 +142,12 @@ def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys, "metric", "node").agg(F.sum("count").alias("count"))
 
 
-def percentiles(digest: DataFrame, keys: list[str], probs: tuple[float, ...] = PROBS, k: int = COMPRESSION, fan_in: int = 64) -> DataFrame:
+def percentiles(digest: DataFrame, keys: list[str], probs: tuple[float, ...] = PROBS, k: int = COMPRESSION) -> DataFrame:
     """One row per group and metric: n, rank_error (the guaranteed bound, in ranks) and p10, p25 ... for the asked probabilities.
 
-    Equal nodes of any parts are added. First `fan_in` tasks a group, each with whole subtrees of it, add and compress,
-    then one task answers; it gets at most 3 k nodes from each of them, however large the group is.
+    Equal nodes of any parts are added. A group is cut into its whole subtrees at depth CUT, which are added and compressed in
+    different tasks with the limit of the whole group, known from a first sum; then one task answers. It gets at most 3 k
+    nodes and one for every subtree, of which there are 2^CUT, however large the group is.
     """
     names = [f"p{p * 100:g}".replace(".", "_") for p in probs]
     by = [*keys, "metric"]
@@ -149,11 +156,11 @@ def percentiles(digest: DataFrame, keys: list[str], probs: tuple[float, ...] = P
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in _whole_groups(batches, by):
-            size = whole.groupby(by, dropna=False, sort=False)["count"].transform("size")
-            yield whole[size <= 64]
-            for _, g in whole[size > 64].groupby(by, dropna=False, sort=False):
-                n, c = compress(*add(g["node"].to_numpy(np.int64), g["count"].to_numpy(np.int64)), k)
-                yield g.iloc[np.zeros(len(n), dtype=int)].assign(node=n, count=c)
+            large = whole["limit"] > 0
+            yield whole.loc[~large, [*by, "node", "count"]]
+            for _, g in whole[large].groupby(by, dropna=False, sort=False):
+                n, c = compress(*add(g["node"].to_numpy(np.int64), g["count"].to_numpy(np.int64)), int(g["limit"].iloc[0]), CUT)
+                yield g.iloc[np.zeros(len(n), dtype=int)].assign(node=n, count=c)[[*by, "node", "count"]]
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in _whole_groups(batches, by):
@@ -161,13 +168,30 @@ def percentiles(digest: DataFrame, keys: list[str], probs: tuple[float, ...] = P
             for key, g in whole.groupby(by, dropna=False, sort=False):
                 n, c = add(g["node"].to_numpy(np.int64), g["count"].to_numpy(np.int64))
                 total = int(c.sum())
-                rows.append((*[None if x is None or x != x else x for x in key], total, BITS * total // k if total >= k else 0, *quantiles(n, c, probs)))
+                rows.append((*[None if x is None or x != x else x for x in key], total, BITS * (total // k), *quantiles(n, c, probs)))
             yield pd.DataFrame(rows, columns=out_schema.names)
 
     tasks = int(digest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    subtree = F.pmod(F.shiftright(F.col("node"), BITS // 2), F.lit(fan_in))
-    parts = digest.select(*by, "node", "count").repartition(tasks, *by, subtree).sortWithinPartitions(*by).mapInPandas(shrink, _node_schema(digest, keys))
-    return parts.repartition(tasks, *by).sortWithinPartitions(*by).mapInPandas(answer, out_schema)
+    stored = materialize(digest.select(*by, "node", "count"), "digests")  # read for the sums and for the counts
+    parts = _with_limits(stored, by, k)
+    depth = F.floor(F.log2("node") + 1e-11).cast("int")
+    subtree = F.when(depth > CUT, F.call_function("shiftright", F.col("node"), depth - CUT)).otherwise(F.when(depth == CUT, F.col("node")).otherwise(F.lit(0)))
+    cut = parts.repartition(tasks, *by, subtree).sortWithinPartitions(*by).mapInPandas(shrink, _node_schema(digest, keys))
+    return cut.repartition(tasks, *by).sortWithinPartitions(*by).mapInPandas(answer, out_schema)
+
+
+def _with_limits(stored: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Adds the most that an inner node of the row's group may hold. The sums are broadcast if they are few, else the rows of a group are dealt to 64 tasks."""
+    other = [f"__t{i}" for i in range(len(by))]
+    totals = stored.groupBy(*by).agg(F.floor(F.sum("count") / k).alias("limit")).select(*[F.col(c).alias(t) for c, t in zip(by, other)], "limit")
+    same = F.lit(True)
+    for c, t in zip(by, other):
+        same &= F.col(c).eqNullSafe(F.col(t))
+    if totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return stored.join(F.broadcast(totals), same).drop(*other)
+    dealt = stored.withColumn("__deal", F.pmod(F.xxhash64("node"), F.lit(64)))
+    copied = totals.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    return dealt.join(copied, same & (F.col("__deal") == F.col("__copy"))).drop(*other, "__deal", "__copy")
 
 
 def _node_schema(df: DataFrame, keys: list[str]) -> T.StructType:
