@@ -1,34 +1,43 @@
 """Mapping freely typed values to the closest entry of a reference list; values without one come out unmatched.
 
-Values are deduplicated and normalised, candidates come from an inverted index of the list's character n-grams, and are
-scored by cosine with inverse-document-frequency weights. A candidate must reach the threshold; what passes is verified
-by its edit distance, and the best must lead the next entry by a margin of distance or of cosine.
+Values are deduplicated and normalised; candidates come from an inverted index of the list's character n-grams and are scored
+by the cosine of their n-gram weights. Weights are inverse frequencies among the typed values and the list together, so what
+many values have in common (titles, kinds of place) weighs little without any list of such words.
+
+A value is accepted if the cosine of its best entry reaches a threshold and leads the next entry by a margin. The thresholds
+come from the list itself: each spelling is asked against the entries other than its own. As much as half of the list
+resembles another entry is too little; more than all but a hundredth do is enough; between the two the entry is checked:
+a third of the letters may differ.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import uuid
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridloom.llm.canonical import canonical
-from gridloom.runtime import BROADCAST_ROWS, materialize, parallelism
+from gridloom.operators.skew import fragment_replicate_join
+from gridloom.runtime import materialize, parallelism
 
-# Spellings of letters where marks can't be typed, words that say only what a name names, titles of states,
-# words that stand before a name but are also put behind it, and their abbreviations.
+# Spellings of letters where marks can't be typed.
 DIGRAPHS = {"ä": "ae", "ö": "oe", "ø": "oe", "ü": "ue", "å": "aa", "æ": "ae", "œ": "oe", "ß": "ss", "š": "sh", "č": "ch", "ž": "zh", "ñ": "ny", "ð": "dh", "þ": "th"}
 SINGLE = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ð": "d", "þ": "th", "ł": "l", "đ": "d"}
-BEFORE = ("the city of", "city of", "municipality of", "town of", "greater", "metropolitan", "metro")
-BEHIND = ("urban area", "metro area", "metropolitan area", "municipality", "city", "town", "metro")
-TITLES = ("republic of", "rep", "kingdom of", "state of", "the", "un")
-LEADING = {"east", "west", "north", "south", "upper", "lower", "new", "old", "port", "fort", "lake", "mount", "saint", "great", "little"}
-ABBREVIATED = {"up": "upper", "lr": "lower", "low": "lower", "nw": "new", "pt": "port", "prt": "port", "ft": "fort", "lk": "lake", "mt": "mount", "mnt": "mount", "st": "saint"}
 
-INITIALS = {w[0] for w in LEADING}
-
-THRESHOLD, MARGIN, DISTANCE = 0.10, 0.05, 3
+MARGIN = 0.02
+#: Shares of the list whose nearest other entry is less similar than the lower and the upper threshold; both thresholds of a list of one entry.
+LOWER, UPPER, ALONE = 0.5, 0.99, 0.4
+#: Cosine below which other entries of the list are not looked for; places of the table of frequencies; spellings and values a task holds.
+LEAST, BUCKETS, PART, SHARD = 0.1, 1 << 18, 20_000, 20_000
 
 
 def _fold(text: str, letters: dict[str, str]) -> str:
@@ -37,86 +46,111 @@ def _fold(text: str, letters: dict[str, str]) -> str:
     return " ".join(re.sub(r"[^\w]+|_", " ", "".join(c for c in text if not unicodedata.combining(c))).split())
 
 
-def _strip_words(text: str) -> str:
-    """Without words that say what is named."""
-    again = True
-    while again:
-        again = False
-        for w in BEFORE:
-            if text.startswith(w + " "):
-                text, again = text[len(w) + 1 :], True
-        for w in BEHIND:
-            if text.endswith(" " + w):
-                text, again = text[: -len(w) - 1], True
-    return text
-
-
-def _leading(text: str) -> str:
-    first, _, rest = text.partition(" ")
-    return f"{ABBREVIATED[first]} {rest}" if rest and first in ABBREVIATED else text
-
-
-def clean_name(text: str) -> tuple[str, str]:
-    """(name to look up, what was added in brackets or behind a comma) of a typed name."""
-    text = canonical(text)
-    m = re.fullmatch(r"\s*(.*?)\s*[(\[]([^()\[\]]*)[)\]]\s*", text) or re.fullmatch(r"\s*([^,]*?)\s*,\s*(.*?)\s*", text)
-    name, added = m.groups() if m else (text, "")
-    name, added = _strip_words(_fold(name, SINGLE)), _fold(added, SINGLE)
-    if ABBREVIATED.get(added, added) in LEADING | INITIALS:
-        return f"{ABBREVIATED.get(added, added)} {name}", ""
-    return _leading(name), added
-
-
-def clean_country(text: str) -> str:
-    """A country without titles; letters of an abbreviation come together."""
-    text = _fold(text, SINGLE)
-    if re.fullmatch(r"(\w )+\w", text):
-        return text.replace(" ", "")
-    again = True
-    while again:
-        again = False
-        for w in TITLES:
-            if text.startswith(w + " "):
-                text, again = text[len(w) + 1 :], True
-            if text.endswith(" " + w):
-                text, again = text[: -len(w) - 1], True
-    return text
+def parts_of(text: str | None) -> tuple[str, str, str]:
+    """Of a typed name: all of it, what stands before brackets or a comma, what stands in or behind them, each normalised."""
+    if not text:
+        return "", "", ""
+    plain = canonical(text)
+    m = re.fullmatch(r"\s*(.*?)\s*[(\[]([^()\[\]]*)[)\]]\s*", plain) or re.fullmatch(r"\s*([^,]*?)\s*,\s*(.*?)\s*", plain)
+    whole = _fold(text, SINGLE)
+    return (whole, _fold(m[1], SINGLE), abbreviation(_fold(m[2], SINGLE))) if m else (whole, whole, "")
+
+
+def abbreviation(text: str) -> str:
+    """Single letters, as they stand between points, come together."""
+    return text.replace(" ", "") if re.fullmatch(r"(\w )+\w", text) else text
 
 
 def variants(text: str) -> list[str]:
-    """Spellings under which an entry is indexed: marks dropped, and written as digraphs; a leading word also as its initial."""
-    full = {_fold(text, SINGLE), _fold(text, DIGRAPHS)} - {""}
-    short = {f"{first[0]} {rest}" for first, _, rest in (v.partition(" ") for v in full) if rest and first in LEADING}
-    return sorted(full | short)
-
-
-def distance(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap neighbours) from a to b, most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        row = [i]
-        for j, cb in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (ca != cb))
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most and (not before or min(last) > most):
-            return most + 1
-        before, last = last, row
-    return min(last[-1], most + 1)
-
-
-@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("added", T.StringType())]))
-def _clean_name(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([clean_name(t) if t else ("", "") for t in texts], columns=["name", "added"])
+    """Spellings under which an entry is indexed: marks dropped, and written as digraphs."""
+    return sorted({_fold(text, SINGLE), _fold(text, DIGRAPHS)} - {""})
+
+
+def grams(text: str) -> list[str]:
+    """Letters, pairs, triples and pairs around a letter of each word, with its ends marked; so the order of words is free."""
+    out: list[str] = []
+    for w in text.split():
+        p = f"^{w}$"
+        out += w
+        out += [p[i : i + 2] for i in range(len(p) - 1)]
+        out += [p[i : i + 3] for i in range(len(p) - 2)]
+        out += [f"{p[i]}_{p[i + 2]}" for i in range(len(p) - 2)]
+    return out
+
+
+class Index:
+    """Inverted index of the spellings of a list, by block and n-gram."""
+
+    def __init__(self, ids: list, spellings: list[str], blocks: list[str | None], frequency: np.ndarray, texts: int):
+        self.ids, self.spellings, self.blocks = ids, spellings, blocks
+        self.frequency, self.texts = frequency, texts
+        self.weight: dict[str, float] = {}
+        self.vectors = [self.vector(w) for w in spellings]
+        self.posts: dict[tuple[str | None, str], list[int]] = {}
+        self.everywhere: dict[str, list[int]] | None = None
+        for j, (b, v) in enumerate(zip(blocks, self.vectors)):
+            for g in v:
+                self.posts.setdefault((b, g), []).append(j)
+
+    def vector(self, text: str) -> dict[str, float]:
+        """Weights of the n-grams of a text, of length 1; a gram weighs the logarithm of its rarity, by the root of its count."""
+        out = {}
+        for g, k in Counter(grams(text)).items():
+            w = self.weight.get(g)
+            if w is None:
+                w = self.weight[g] = math.log((self.texts + 1) / (self.frequency[zlib.crc32(g.encode()) % BUCKETS] + 0.5))
+            out[g] = max(w, 0.0) * math.sqrt(k)
+        norm = math.sqrt(sum(x * x for x in out.values()))
+        return {g: x / norm for g, x in out.items()} if norm else {}
+
+    def best(self, text: str, block: str | None, floor: float, other: object = None) -> list[tuple[float, object, str]]:
+        """The two best entries with cosine of at least `floor`, as (cosine, id, spelling); block null: of all blocks; never the entry `other`.
+
+        Only the heaviest n-grams are looked up, as many as leave less than `floor` of the text's length to the rest: an entry
+        that shares none of them cannot reach `floor`. So frequent n-grams are rarely met, and nothing is lost.
+        """
+        mine = self.vector(text)
+        if block is None and self.everywhere is None:
+            self.everywhere = {}
+            for (_, g), js in self.posts.items():
+                self.everywhere.setdefault(g, []).extend(js)
+        met: set[int] = set()
+        rest = 1.0
+        for g, x in sorted(mine.items(), key=lambda t: -t[1]):
+            if rest < floor * floor - 1e-9:
+                break
+            met.update(self.everywhere.get(g, ()) if block is None else self.posts.get((block, g), ()))
+            rest -= x * x
+        found: dict[object, tuple[float, object, str]] = {}
+        for j in met:
+            if (i := self.ids[j]) == other:
+                continue
+            theirs = self.vectors[j]
+            score = sum(x * theirs[g] for g, x in mine.items() if g in theirs)
+            if score >= floor and (i not in found or score > found[i][0]):
+                found[i] = (score, i, self.spellings[j])
+        return sorted(found.values(), key=lambda t: (-t[0], t[1]))[:2]
+
+
+_indexes: dict[tuple[str, int], Index] = {}
+
+
+def _index(token: tuple[str, int], make) -> Index:
+    """One index a worker process, used for all groups that need it."""
+    if token not in _indexes:
+        _indexes.clear()
+        _indexes[token] = make()
+    return _indexes[token]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("whole", "name", "added")]))
+def _parts(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parts_of(t) for t in texts], columns=["whole", "name", "added"])
 
 
 @F.pandas_udf(T.StringType())
-def _clean_country(texts: pd.Series) -> pd.Series:
-    return texts.map(clean_country, na_action="ignore")
+def _country(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: abbreviation(_fold(t, SINGLE)), na_action="ignore")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -124,91 +158,106 @@ def _variants(texts: pd.Series) -> pd.Series:
     return texts.map(variants, na_action="ignore")
 
 
-def _distance(most: int):
-    @F.pandas_udf(T.IntegerType())
-    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([distance(x, y, most) for x, y in zip(a, b)], dtype="int32")
+def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of the distinct texts (column t) each place of the table occurs, and how many texts there are."""
 
-    return edits
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, place, n = np.zeros(BUCKETS + 1, dtype=np.int64), {}, 0
+        for pdf in batches:
+            for t in pdf["t"]:
+                n += 1
+                for g in set(grams(t)):
+                    if (p := place.get(g)) is None:
+                        p = place[g] = zlib.crc32(g.encode()) % BUCKETS
+                    counts[p] += 1
+        counts[BUCKETS] = n
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"p": at, "n": counts[at]})
 
+    got = texts.mapInPandas(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
+    out = np.zeros(BUCKETS + 1, dtype=np.int64)
+    out[got["p"]] = got["n"]
+    return out[:BUCKETS], int(out[BUCKETS])
 
-def _grams(text: Column) -> Column:
-    """Bigrams and trigrams with marked ends."""
-    s = F.concat(F.lit("^"), text, F.lit("$"))
-    n = F.length(s)
-    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, k))
-    return F.when(n < 3, F.array(s)).otherwise(F.concat(cut(2), cut(3)))
 
+def _asked(asked: DataFrame, entries: DataFrame, stats: Broadcast, floor: float) -> DataFrame:
+    """(v, b, other, r): for each row (v, b, other) its two best entries, r an array of (minus, id, w).
 
-def closest(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, most: int = DISTANCE) -> DataFrame:
-    """For each distinct (v, b) of `values` its entry: columns v, b, id, cosine, edits; values without one are missing.
+    Values are dealt to tasks, at most SHARD to each, with a copy of the list; a list of more than PART spellings is cut, each
+    part meets all values, and the two best of all parts are kept.
+    """
+    tasks = parallelism(asked.sparkSession)
+    parts = max(1, math.ceil(entries.count() / PART))
+    shards = max(2 * tasks, math.ceil(asked.count() / SHARD))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.withColumn("part", each(parts)).withColumn("shard", F.pmod(F.xxhash64("v", "b"), F.lit(shards)))
+    right = entries.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts))).withColumn("shard", each(shards))
+    kind = entries.schema["id"].dataType.simpleString()
+    token = uuid.uuid4().hex
+
+    def score(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(mine) and len(theirs):
+            plain = lambda s: s.astype(object).where(s.notna(), None).tolist()
+            index = _index((token, key[0]), lambda: Index(theirs["id"].tolist(), theirs["w"].tolist(), plain(theirs["eb"]), *stats.value))
+            for v, b, other in zip(mine["v"], plain(mine["b"]), plain(mine["other"])):
+                rows += [(v, b, other, -c, i, w) for c, i, w in index.best(v, b, floor, other)]
+        return pd.DataFrame(rows, columns=["v", "b", "other", "minus", "id", "w"])
+
+    schema = f"v string, b string, other {kind}, minus double, id {kind}, w string"
+    found = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInPandas(score, schema)
+    one = found.groupBy("v", "b", "other", "id").agg(F.min(F.struct("minus", "w")).alias("s"))
+    # at most two entries of each part come together
+    return one.groupBy("v", "b", "other").agg(F.slice(F.array_sort(F.collect_list(F.struct("s.minus", "id", "s.w"))), 1, 2).alias("r"))
+
+
+def closest(values: DataFrame, entries: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """For each distinct (v, b) of `values` its entry: columns v, b, id, cosine; values without one are missing.
 
     values: v the normalised text, b the block it must lie in, null for any. entries: id, w a normalised spelling, b its
-    block; an entry may have several spellings. Every pair with a common n-gram in the block is scored; none is cut off.
-    Two entries at the same distance within the margin of cosine are no match, nor is text that keeps less than half its letters.
+    block; an entry may have several spellings. Two entries within the margin of cosine are no match.
     """
-    entries = entries.where(F.col("id").isNotNull() & F.col("w").isNotNull() & (F.col("w") != "")).select("id", "w", F.col("b").alias("eb")).distinct()
-    spelled = entries.select("w").distinct().withColumn("gram", F.explode(_grams(F.col("w")))).groupBy("w", "gram").agg(F.count("*").alias("tf"))
-    posts = entries.join(spelled, "w")
-    spellings, posted = entries.count(), posts.count()
-    unseen = F.log(F.lit((spellings + 1) / 0.5))
-    idf = posts.groupBy("gram").agg(F.log(F.lit(spellings + 1.0) / (F.count("*") + 0.5)).alias("idf"))
-    weighted = spelled.join(idf, "gram")
-    norms = weighted.groupBy("w").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
-    index = entries.join(weighted, "w").join(norms, "w").select("gram", "id", "w", "eb", (F.col("tf") * F.col("idf") ** 2 / F.col("norm")).alias("weight"))
-    index, idf = materialize(index, "index"), materialize(idf, "idf")  # the list's, read several times below
-    small = posted <= BROADCAST_ROWS  # the list's size, not the values'; beyond it both sides are shuffled by n-gram
-    if small:
-        index, idf = F.broadcast(index), F.broadcast(idf)
-    asked = values.select("v", "b").where(F.col("v").isNotNull() & (F.col("v") != "")).distinct()
-    mine = asked.withColumn("gram", F.explode(_grams(F.col("v")))).groupBy("v", "b", "gram").agg(F.count("*").alias("vtf"))
-    lengths = mine.join(idf, "gram", "left").groupBy("v", "b").agg(F.sqrt(F.sum((F.col("vtf") * F.coalesce("idf", unseen)) ** 2)).alias("vnorm"))
-    within = mine.where(F.col("b").isNotNull()).join(index.withColumnRenamed("gram", "g"), (F.col("gram") == F.col("g")) & (F.col("b") == F.col("eb")))
-    across = mine.where(F.col("b").isNull()).join(index.withColumnRenamed("gram", "g"), F.col("gram") == F.col("g"))
-    pairs = within.unionByName(across).groupBy("v", "b", "id", "w").agg(F.sum(F.col("vtf") * F.col("weight")).alias("dot"))
-    scored = (
-        pairs.join(lengths.select(F.col("v").alias("lv"), F.col("b").alias("lb"), "vnorm"), (F.col("v") == F.col("lv")) & F.col("b").eqNullSafe(F.col("lb")))
-        .withColumn("cosine", F.col("dot") / F.col("vnorm"))
-        .where(F.col("cosine") >= threshold)
-        .where(F.abs(F.length("v") - F.length("w")) <= most)
-        .where(F.levenshtein("v", "w", 2 * most) >= 0)  # a swap is two of these edits; -1 beyond the limit
-        .repartition(parallelism(values.sparkSession), "v", "b")  # few bytes cost much Python here; serves the aggregations below, too
-        .withColumn("edits", _distance(most)("v", "w"))
-        .where((F.col("edits") <= most) & (F.col("edits") * 2 <= F.length("v")))
-        .groupBy("v", "b", "id").agg(F.min(F.struct("edits", (-F.col("cosine")).alias("minus"))).alias("s"))
-    )
-    rank = F.struct(F.col("s.edits").alias("edits"), F.col("s.minus").alias("minus"), F.col("id"))
-    # the two best per value: the minimum, and the minimum of the rest, kept in a bounded array
-    two = scored.groupBy("v", "b").agg(F.slice(F.array_sort(F.collect_list(rank)), 1, 2).alias("r"))
+    spark = values.sparkSession
+    entries = materialize(entries.where(F.col("id").isNotNull() & F.col("w").isNotNull() & (F.col("w") != "")).select("id", "w", F.col("b").alias("eb")).distinct(), "entries")
+    asked = materialize(values.select("v", "b").where(F.col("v").isNotNull() & (F.col("v") != "")).distinct(), "asked")
+    texts = asked.select(F.col("v").alias("t")).distinct().unionAll(entries.select(F.col("w").alias("t")).distinct())
+    stats = spark.sparkContext.broadcast(_frequencies(texts))  # BUCKETS numbers
+    own = _asked(entries.select(F.col("w").alias("v"), F.col("eb").alias("b"), F.col("id").alias("other")), entries, stats, LEAST)
+    near = entries.join(own.select(F.col("v").alias("ow"), F.col("b").alias("ob"), "other", (-F.col("r")[0]["minus"]).alias("c")), (F.col("w") == F.col("ow")) & F.col("eb").eqNullSafe(F.col("ob")) & (F.col("id") == F.col("other")), "left")
+    low, high = near.agg(F.percentile_approx(F.coalesce("c", F.lit(0.0)), [LOWER, UPPER], 10_000).alias("q"), F.count_distinct("id").alias("n")).select(F.when(F.col("n") > 1, F.col("q"))).first()[0] or (ALONE, ALONE)
+    low = max(low, LEAST + margin)
+    found = _asked(asked.withColumn("other", F.lit(None).cast(entries.schema["id"].dataType)), entries, stats, low - margin)
     first, second = F.col("r")[0], F.get("r", F.lit(1))
-    clear = second.isNull() | (second["edits"] > first["edits"]) | (second["minus"] - first["minus"] >= margin)
-    return two.where(clear).select("v", "b", first["id"].alias("id"), (-first["minus"]).alias("cosine"), first["edits"].alias("edits"))
+    sure = (-first["minus"] >= high) | (F.levenshtein("v", first["w"]) * 3 <= F.greatest(F.length("v"), F.length(first["w"])))
+    clear = second.isNull() | (second["minus"] - first["minus"] >= margin)
+    return found.where((-first["minus"] >= low) & clear & sure).select("v", "b", first["id"].alias("id"), (-first["minus"]).alias("cosine"))
 
 
 def link_places(typed: DataFrame, key: str, name: str, country: str, iso: str, entries: DataFrame, entry_id: str, entry_name: str, entry_country: str, aliases: DataFrame) -> DataFrame:
     """(key, entry id or 0) for every row of `typed`, null and blank names included.
 
-    The block of a row is its country as typed, else its code, else what stands behind its name if that is a country.
-    aliases: (alias, country) further texts that mean a country, such as codes. A row whose country is given but is none of
-    the list's gets no entry. Repeated rows come out each; null keys stay.
+    The block of a row is its country as typed, else its code, else what stands behind its name if that is a country; the
+    same operator finds it among the countries of the list. aliases: (alias, country) further texts that mean a country,
+    such as codes. A row whose country is given but is none of the list's gets no entry. Repeated rows come out each; null keys stay.
     """
-    rows = typed.select(F.col(key).alias("key"), F.col(name).alias("n"), F.col(country).alias("c"), F.col(iso).alias("i"))
-    forms = rows.select("n", "c", "i").distinct().withColumn("f", _clean_name("n")).select("n", "c", "i", F.col("f.name").alias("v"), F.col("f.added").alias("added"))
-    forms = materialize(forms.withColumn("ck", _clean_country("c")).withColumn("ik", _clean_country("i")), "forms")  # used five times below
+    whole = F.sha2(F.to_json(F.struct("n", "c", "i")), 256)
+    rows = typed.select(F.col(key).alias("key"), F.col(name).alias("n"), F.col(country).alias("c"), F.col(iso).alias("i")).select("key", "n", "c", "i", whole.alias("h"))
+    forms = rows.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n", "c", "i")])
+    forms = forms.withColumn("p", _parts("n")).select("h", "p.*", _country("c").alias("ck"), _country("i").alias("ik"))
+    forms = materialize(forms, "forms")  # read for the countries and for the names
     known = (
         entries.select(F.col(entry_country).alias("country"), F.col(entry_country).alias("alias"))
         .unionByName(aliases.select("country", "alias")).where(F.col("alias").isNotNull() & F.col("country").isNotNull()).distinct()
-        .withColumn("w", _clean_country("alias")).select(F.col("country").alias("id"), "w", F.lit(None).cast("string").alias("b")).distinct()
+        .select(F.col("country").alias("id"), _country("alias").alias("w"), F.lit(None).cast("string").alias("b")).distinct()
     )
-    spoken = forms.select(F.col("ck").alias("v")).unionByName(forms.select(F.col("ik").alias("v"))).unionByName(forms.where(F.col("c").isNull() & F.col("i").isNull()).select(F.col("added").alias("v")))
-    lands = materialize(closest(spoken.withColumn("b", F.lit(None).cast("string")), known, most=2).select(F.col("v").alias("said"), F.col("id").alias("land")), "lands")
+    spoken = forms.select(F.explode(F.array("ck", "ik", "added")).alias("v"), F.lit(None).cast("string").alias("b"))
+    lands = materialize(closest(spoken, known).select(F.col("v").alias("said"), F.col("id").alias("land")), "lands")
     at = lambda c, out: lands.select(F.col("said").alias(c), F.col("land").alias(out))
     forms = forms.join(at("ck", "l1"), "ck", "left").join(at("ik", "l2"), "ik", "left").join(at("added", "l3"), "added", "left")
     given = F.coalesce(F.col("ck") != "", F.lit(False)) | F.coalesce(F.col("ik") != "", F.lit(False))
-    block = F.coalesce("l1", "l2", F.when(~given, F.col("l3")), F.when(given, F.lit("?")))
-    forms = forms.select("n", "c", "i", "v", block.alias("b"))
+    block = F.coalesce("l1", "l2", F.when(~given, F.col("l3")))
+    forms = materialize(forms.where(~given | block.isNotNull()).select("h", F.when(F.col("l3").isNotNull(), F.col("name")).otherwise(F.col("whole")).alias("v"), block.alias("b")), "blocks")
     index = entries.select(F.col(entry_id).alias("id"), F.explode(_variants(entry_name)).alias("w"), F.col(entry_country).alias("b"))
-    found = closest(forms.select("v", "b"), index).select(F.col("v").alias("fv"), F.col("b").alias("fb"), "id")
-    mapped = forms.join(found, (F.col("v") == F.col("fv")) & F.col("b").eqNullSafe(F.col("fb")), "left").select(F.col("n").alias("mn"), F.col("c").alias("mc"), F.col("i").alias("mi"), "id")
-    same = F.col("n").eqNullSafe(F.col("mn")) & F.col("c").eqNullSafe(F.col("mc")) & F.col("i").eqNullSafe(F.col("mi"))
-    return rows.join(mapped, same, "left").select(F.col("key").alias(key), F.coalesce("id", F.lit(0)).alias(entry_id))
+    found = closest(forms, index).select(F.col("v").alias("fv"), F.col("b").alias("fb"), "id")
+    mapped = forms.join(found, (F.col("v") == F.col("fv")) & F.col("b").eqNullSafe(F.col("fb"))).select("h", "id")
+    return fragment_replicate_join(rows.select("key", "h"), mapped, "h", "left", spread=["key"]).select(F.col("key").alias(key), F.coalesce("id", F.lit(0)).alias(entry_id))

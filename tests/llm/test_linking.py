@@ -1,3 +1,5 @@
+import numpy as np
+
 from gridloom.llm import linking
 
 CITIES = [(1, "Draskevik", "Norva"), (2, "Ulmöburg", "Norva"), (3, "Ulmöburg", "Sudria"), (4, "East Garten", "Sudria"), (5, "Šelčopol", "Norva"), (6, "Tarn", "Sudria")]
@@ -19,5 +21,27 @@ def test_link(spark):
     assert {r.cid for r in linking.link_places(typed, "e", "n", "c", "i", cities.where("false"), "cid", "name", "land", codes).collect()} == {0}
 
 
-def test_distance():
-    assert linking.distance("abcd", "abdc", 3) == 1 and linking.distance("abcd", "bcd", 3) == 1 and linking.distance("abc", "xyz", 2) == 3 and linking.distance("", "", 3) == 0
+def test_prefix_of_rare_grams_loses_nothing():
+    import random
+
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(3, 9))) for _ in range(300)})
+    index = linking.Index(list(range(len(names))), names, [None if i % 2 else "x" for i in range(len(names))], np.arange(linking.BUCKETS) % 40, 300)
+    for floor in (0.1, 0.3, 0.6):
+        for text in names[::7] + ["zzz", "abcabc def"]:
+            mine = index.vector(text)
+            for block in (None, "x"):
+                score = {i: sum(x * index.vectors[i].get(g, 0) for g, x in mine.items()) for i in range(len(names)) if block is None or index.blocks[i] == block}
+                want = sorted(((s, i) for i, s in score.items() if s >= floor), key=lambda t: (-t[0], t[1]))[:2]
+                got = [(c, i) for c, i, _ in index.best(text, block, floor)]
+                assert [i for _, i in got] == [i for _, i in want] and np.allclose([c for c, _ in got], [c for c, _ in want])
+
+
+def test_parts_of_the_list_give_the_same(spark, monkeypatch):
+    names = [f"{a}{b}" for a in ("drask", "ulmo", "tarn", "velvi", "osra") for b in ("vik", "burg", "grad", "pol", "dale")]
+    entries = spark.createDataFrame([(i, w, None) for i, w in enumerate(names)], "id long, w string, b string")
+    values = spark.createDataFrame([(w[:3] + w[4:], None) for w in names] + [(w, None) for w in names] + [("qqq", None), (None, None)], "v string, b string")
+    whole = {(r.v, r.id) for r in linking.closest(values, entries).collect()}
+    monkeypatch.setattr(linking, "PART", 7)
+    monkeypatch.setattr(linking, "SHARD", 9)
+    assert whole == {(r.v, r.id) for r in linking.closest(values, entries).collect()} and {(w, i) for i, w in enumerate(names)} <= whole
