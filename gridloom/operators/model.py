@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gridloom.operators.ranks import quantiles
 from gridloom.functions.clean import clip, finite
 from gridloom.functions.clean import digest_of
 
@@ -102,7 +103,7 @@ def feature_qc(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute_clip(df: DataFrame, columns: list[str], fit_on: Column, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Missing values become the median, others are bounded by quantiles, all of the rows where `fit_on` holds."""
-    fit = df.where(F.coalesce(fit_on, F.lit(False))).agg(*[F.percentile(finite(F.col(c)), F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(f"__q_{c}") for c in columns])
+    fit = quantiles(df.where(F.coalesce(fit_on, F.lit(False))), [], {f"__q_{c}": F.col(c) for c in columns}, [low, 0.5, high])
     out = df.crossJoin(F.broadcast(fit))  # one row
     return out.select(*[F.when(finite(F.col(c)).isNull(), F.col(f"__q_{c}")[1]).otherwise(F.least(F.greatest(F.col(c), F.col(f"__q_{c}")[0]), F.col(f"__q_{c}")[2])).alias(c) if c in columns else F.col(c) for c in df.columns])
 

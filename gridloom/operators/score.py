@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.clean import clip, finite
+from gridloom.operators.ranks import null_safe, quantiles
 
 
 def robust_scores(df: DataFrame, specs: dict[str, tuple[str, bool, bool]], by: list[str] | None = None, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Adds scores of 0 to 100 by name: (column, log1p first, lower is better), between the low and high percentile.
 
-    Without spread every present value scores 100. Percentiles of all columns come from one aggregation.
+    Without spread every present value scores 100. Percentiles of all columns come from one pass, see `ranks`.
     """
     by = by or []
 
@@ -18,12 +19,8 @@ def robust_scores(df: DataFrame, specs: dict[str, tuple[str, bool, bool]], by: l
         v = finite(F.col(c))
         return F.when(v.isNotNull(), F.log1p(F.greatest(v, F.lit(0.0)))) if log else v
 
-    bounds = df.groupBy(*by).agg(*[F.percentile(x(c, log), F.array(F.lit(low), F.lit(high))).alias(f"__q_{n}") for n, (c, log, _) in specs.items()])
-    if by:
-        keyed = bounds.select(*[F.col(k).alias(f"__k_{k}") for k in by], *[f"__q_{n}" for n in specs])
-        out = df.join(keyed, [df[k].eqNullSafe(keyed[f"__k_{k}"]) for k in by], "left").drop(*[f"__k_{k}" for k in by])
-    else:
-        out = df.crossJoin(F.broadcast(bounds))  # one row
+    bounds = quantiles(df, by, {f"__q_{n}": x(c, log) for n, (c, log, _) in specs.items()}, [low, high])
+    out = null_safe(df, bounds, by, "left")
     for n, (c, log, inverse) in specs.items():
         q, v = F.col(f"__q_{n}"), x(c, log)
         s = F.when(v.isNull(), F.lit(None)).when(~(q[1] > q[0]), F.lit(100.0)).otherwise(clip((v - q[0]) / F.nullif(q[1] - q[0], F.lit(0.0)) * 100.0, 0.0, 100.0))
@@ -33,9 +30,8 @@ def robust_scores(df: DataFrame, specs: dict[str, tuple[str, bool, bool]], by: l
 
 def above_group_quantile(df: DataFrame, by: list[str], column: str, p: float, valid: Column, name: str) -> DataFrame:
     """Adds a flag: the value exceeds the p-quantile of the valid rows of its group. The thresholds, one row per group, are joined back."""
-    cut = df.where(F.coalesce(valid, F.lit(False))).groupBy(*by).agg(F.percentile(finite(F.col(column)), F.lit(p)).alias("__cut"))
-    keyed = cut.select(*[F.col(k).alias(f"__k_{k}") for k in by], "__cut")
-    return df.join(keyed, [df[k].eqNullSafe(keyed[f"__k_{k}"]) for k in by], "left").withColumn(name, F.coalesce(finite(F.col(column)) > F.col("__cut"), F.lit(False))).drop("__cut", *[f"__k_{k}" for k in by])
+    cut = quantiles(df.where(F.coalesce(valid, F.lit(False))), by, {"__cut": F.col(column)}, [p])
+    return null_safe(df, cut, by, "left").withColumn(name, F.coalesce(finite(F.col(column)) > F.col("__cut")[0], F.lit(False))).drop("__cut")
 
 
 def review_list(df: DataFrame, key: str, rules: dict[str, tuple[Column, Column]]) -> DataFrame:

