@@ -188,10 +188,10 @@ def _asked(asked: DataFrame, entries: DataFrame, stats: Broadcast, floor: float)
     """
     tasks = parallelism(asked.sparkSession)
     parts = max(1, math.ceil(entries.count() / PART))
-    shards = max(2 * tasks, math.ceil(asked.count() / SHARD))
+    shards = max(4 * tasks, math.ceil(asked.count() / SHARD))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = asked.withColumn("part", each(parts)).withColumn("shard", F.pmod(F.xxhash64("v", "b"), F.lit(shards)))
-    right = entries.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts))).withColumn("shard", each(shards))
+    left = asked.withColumn("part", each(parts)).withColumn("shard", F.pmod(F.xxhash64("v", "b"), F.lit(shards))).repartition(tasks, "part", "shard")
+    right = entries.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts))).withColumn("shard", each(shards)).repartition(tasks, "part", "shard")  # few bytes cost much Python here, so tasks must not be merged by size
     kind = entries.schema["id"].dataType.simpleString()
     token = uuid.uuid4().hex
 
