@@ -129,5 +129,5 @@ def digest_of(*cols: Column) -> Column:
 
 
 def seed_of(key: Column, seed: int) -> Column:
-    """Stable uniform draw in [0, 1) per key."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """Stable uniform draw in [0, 1) per key: the first 52 bits of the SHA-256 of seed and key."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), key), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from gridloom.operators.ranks import quantiles
-from gridloom.functions.clean import clip, finite
-from gridloom.functions.clean import digest_of
+from gridloom.functions.clean import clip, digest_of, finite
+from gridloom.operators.ranks import null_safe, quantiles
 
 MAX_TERMS = 400
 
@@ -23,60 +23,142 @@ def interactions(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column
     return {f"{x}:{y}": p * q for x, p in a.items() for y, q in b.items()}
 
 
-def within(df: DataFrame, group: str, columns: list[str], weight: str) -> DataFrame:
-    """Columns less their group's weighted means: absorbs fixed effects. The means are aggregated and joined back."""
-    m = df.groupBy(group).agg(*[(F.sum(F.col(c) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias(f"__m_{c}") for c in columns])
-    j = df.join(m.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
-    return j.select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+def beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by the midpoint rule after x = sin^2 (t), smooth for a, b >= 1/2."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    t = np.arcsin(np.sqrt(x))
+    n = 4000
+    grid = (np.arange(n) + 0.5) * t / n
+    logs = (2 * a - 1) * np.log(np.sin(grid)) + (2 * b - 1) * np.log(np.cos(grid)) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    return float(min(1.0, 2 * np.exp(logs).sum() * t / n))
 
 
-def wls(df: DataFrame, outcome: Column, terms: dict[str, Column], weight: Column | None = None, cluster: str | None = None, model: str = "model", absorbed: int = 0) -> DataFrame:
-    """Coefficients (term, coef, std_err, t, nobs, clusters, sample_hash, status) of a least-squares fit, one row per term.
+def p_value(t: float, df: float) -> float:
+    """Two-sided tail of Student's t."""
+    return beta_share(df / (df + t * t), df / 2, 0.5) if df > 0 else float("nan")
 
-    X'WX and X'Wy come from one aggregation, whatever the number of rows; the solution has as many numbers as terms. With
-    `cluster` the covariance is the sandwich over score sums per cluster with factor g/(g-1) (n-1)/(n-k), else HC1-free
-    classic variance. Too few rows or a singular design give one row with a status, no exception.
+
+def t_quantile(df: float, tail: float = 0.05) -> float:
+    """The t beyond which, to both sides, `tail` lies."""
+    lo, hi = 0.0, 1e3
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if p_value(mid, df) > tail else (lo, mid)
+    return hi
+
+
+FIT = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("model", "scenario", "outcome", "term")], *[T.StructField(n, T.DoubleType()) for n in ("coef", "std_err", "t", "p", "ci_low", "ci_high")],
+    *[T.StructField(n, T.LongType()) for n in ("nobs", "n_input", "clusters", "absorbed")], T.StructField("r_squared", T.DoubleType()), T.StructField("df_resid", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("cov_type", "sample_hash", "status")],
+])
+
+
+@dataclass(frozen=True)
+class Fit:
+    """One fit of a suite: its names, the rows it uses (a condition), its outcome and its weight (none: all alike)."""
+
+    model: str
+    scenario: str
+    outcome: str
+    value: Column
+    weight: Column | None = None
+    rows: Column | None = None
+
+
+def least_squares(df: DataFrame, fits: list[Fit], terms: dict[str, Column], cluster: str | None = None, absorb: str | None = None, ids: list[Column] | None = None) -> DataFrame:
+    """Coefficients of weighted least-squares fits on the same terms, one row per fit and term, see FIT.
+
+    All fits come from the same few aggregations, whatever the number of rows or fits: means, moments about the means, scores.
+    absorb: a column whose levels each have an effect of their own; columns are taken about its weighted means instead of
+    carrying a dummy per level, and its levels count in the degrees of freedom. Covariance: the sandwich over score sums per
+    cluster with factor g/(g-1) (n-1)/(n-k) if there are two clusters or more, else HC3. sample_hash: of `ids`, which name a row
+    whatever its weight. Too few rows or a singular design give one row with a status, no exception.
     """
-    spark = df.sparkSession
-    schema = "model string, term string, coef double, std_err double, t double, nobs long, clusters long, sample_hash string, status string"
-    if len(terms) > MAX_TERMS:
+    spark, names, k = df.sparkSession, list(terms), len(terms)
+    if k > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} terms; absorb fixed effects instead")
-    names = list(terms)
-    w = F.lit(1.0) if weight is None else weight
-    rows = df.select(finite(outcome).alias("y"), finite(w).alias("w"), *[finite(c).alias(f"x{i}") for i, c in enumerate(terms.values())], *([F.col(cluster).alias("g")] if cluster else []))
-    rows = rows.dropna().where(F.col("w") > 0)
-    k = len(names)
-    xs = [F.col(f"x{i}") for i in range(k)]
-    sums = [F.count("*").alias("n"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("yy"), F.sum(F.xxhash64("y", "w", *xs).cast("decimal(38,0)")).cast("string").alias("h")]
-    sums += [F.sum(F.col("w") * xs[i] * F.col("y")).alias(f"b{i}") for i in range(k)]
-    sums += [F.sum(F.col("w") * xs[i] * xs[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-    s = rows.agg(*sums).first()
-    fail = lambda why: spark.createDataFrame([(model, "__model_error__", None, None, None, s.n, None, None, why)], schema)
-    if s.n < max(5, k + 1):
-        return fail("too_few_rows")
-    a = np.array([[s[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-    b = np.array([s[f"b{i}"] for i in range(k)], dtype=float)
-    if np.linalg.matrix_rank(a, hermitian=True) < k:
-        return fail("singular_design")
-    inv = np.linalg.inv(a)
-    beta = inv @ b
-    fitted = sum((x * float(v) for x, v in zip(xs, beta)), F.lit(0.0))
-    e = F.col("y") - fitted
-    groups = None
-    if cluster:
-        per = rows.groupBy("g").agg(*[F.sum(F.col("w") * xs[i] * e).alias(f"s{i}") for i in range(k)])
-        m = per.agg(F.count("*").alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        groups = m.g
-        if groups < 2:
-            return fail("one_cluster")
-        meat = np.array([[m[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-        cov = inv @ meat @ inv * groups / (groups - 1) * (s.n - 1) / (s.n - k - absorbed)
-    else:
-        rss = rows.agg(F.sum(F.col("w") * e * e)).first()[0]
-        cov = inv * rss / (s.n - k - absorbed)
-    se = np.sqrt(np.maximum(0, np.diag(cov)))
-    out = [(model, t, float(c), float(d), float(c / d) if d > 0 else None, s.n, groups, s.h, "ok") for t, c, d in zip(names, beta, se)]
-    return spark.createDataFrame(out, schema)
+    constant = [n == "Intercept" for n in names]
+    if absorb and any(constant):
+        raise ValueError("an intercept is absorbed with the levels")
+    cells = F.array(*[F.struct(
+        F.lit(i).alias("fit"), (F.lit(True) if f.rows is None else F.coalesce(f.rows, F.lit(False))).alias("in"), finite(f.value.cast("double")).alias("y"), (F.lit(1.0) if f.weight is None else finite(f.weight.cast("double"))).alias("w"),
+    ) for i, f in enumerate(fits)])
+    xs = [f"x{i}" for i in range(k)]
+    base = df.select(
+        *[finite(c.cast("double")).alias(x) for x, c in zip(xs, terms.values())], F.coalesce(F.xxhash64(*ids) if ids else F.lit(0), F.lit(0)).alias("id"),
+        (F.col(cluster) if cluster else F.lit("")).alias("g"), (F.col(absorb) if absorb else F.lit("")).alias("f"), F.explode(cells).alias("c"),
+    ).where(F.col("c.in"))
+    n_input = {r.fit: r.n for r in base.groupBy(F.col("c.fit").alias("fit")).agg(F.count("*").alias("n")).collect()}
+    rows = base.select("c.fit", "c.y", "c.w", *xs, "id", "g", "f").dropna().where(F.col("w") > 0)
+    cols, by = ["y", *xs], ["fit", "f"] if absorb else ["fit"]
+    # with neither levels nor an intercept nothing may be shifted; an intercept itself stays
+    moved = [absorb is not None or (any(constant) and (i == 0 or not constant[i - 1])) for i in range(k + 1)]
+    means = rows.groupBy(*by).agg(F.sum("w").alias("fw"), F.count("*").cast("double").alias("fn"), *[(F.sum(F.col(c) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0)) if m else F.lit(0.0)).alias(f"m_{c}") for c, m in zip(cols, moved)])
+    centre = {} if absorb else {r.fit: [r[f"m_{c}"] for c in cols] for r in means.collect()}
+    about = null_safe(rows, means if absorb else means.withColumns({"fw": F.lit(float("inf")), "fn": F.lit(float("inf"))}), by)
+    rows = about.select("fit", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in cols], "w", "g", "id", "fw", "fn")
+    x, y, w = [F.col(c) for c in xs], F.col("y"), F.col("w")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    square = lambda r, p: np.array([[r[f"{p}{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
+    sums = {r.fit: r for r in rows.groupBy("fit").agg(
+        F.count("*").alias("n"), F.sum(F.col("id").cast("decimal(38,0)")).cast("string").alias("h"), F.sum(1.0 / F.col("fn")).alias("levels"), F.sum(w * y * y).alias("yy"), F.sum(w).alias("sw"), F.sum(w * y).alias("sy"),
+        *[F.sum(w * v * y).alias(f"b{i}") for i, v in enumerate(x)], *[F.sum(w * x[i] * x[j]).alias(f"a{i}_{j}") for i, j in pairs],
+    ).collect()}
+    out, solved = [], {}
+    for i, f in enumerate(fits):
+        s = sums.get(i)
+        n, levels = (s.n, round(s.levels) if absorb else 0) if s else (0, 0)
+        why = "too_few_rows" if n < max(5, k + levels + 1) else None
+        if not why:
+            a, b = square(s, "a"), np.array([s[f"b{j}"] for j in range(k)], dtype=float)
+            size = np.sqrt(np.maximum(np.diag(a), 0))
+            scaled = a / np.outer(size, size) if (size > 0).all() else np.zeros((k, k))
+            why = "singular_design" if np.linalg.matrix_rank(scaled, tol=1e-10, hermitian=True) < k else None
+        if why:
+            out.append((f.model, f.scenario, f.outcome, "__model_error__", *[None] * 6, n, n_input.get(i, 0), None, levels, None, None, None, None, why))
+        else:
+            inv = np.linalg.inv(scaled) / np.outer(size, size)
+            solved[i] = (s, levels, inv, inv @ b, b)
+    if solved:
+        table = spark.createDataFrame([(i, [float(v) for v in beta], [float(v) for v in inv.ravel()]) for i, (_, _, inv, beta, _) in solved.items()], "fit int, beta array<double>, inv array<double>")
+        # by arrays, so that the residual and the leverage stay small expressions, however many terms there are
+        dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+        known = rows.join(F.broadcast(table), "fit").withColumn("xa", F.array(*x)).withColumn("e", y - dot(F.col("xa"), F.col("beta")))
+        per = known.groupBy("fit", "g").agg(*[F.sum(w * v * F.col("e")).alias(f"s{i}") for i, v in enumerate(x)])
+        meat = {r.fit: r for r in per.groupBy("fit").agg(F.count("*").alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in pairs]).collect()} if cluster else {}
+        alone = [i for i in solved if i not in meat or meat[i].g < 2]
+        if alone:  # leverage of a row, with its part in the mean of its level
+            line = lambda i: dot(F.col("xa"), F.slice(F.col("inv"), i * k + 1, F.lit(k)))
+            h = w * (dot(F.col("xa"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), line)) + 1.0 / F.col("fw"))
+            known = known.withColumn("u", F.pow(w * F.col("e") / F.greatest(F.lit(1e-12), 1 - h), F.lit(2.0)))
+            hc3 = {r.fit: r for r in known.where(F.col("fit").isin(alone)).groupBy("fit").agg(*[F.sum(F.col("u") * x[i] * x[j]).alias(f"m{i}_{j}") for i, j in pairs]).collect()}
+    for i, (s, levels, inv, beta, b) in solved.items():
+        f, groups = fits[i], meat[i].g if i in meat else None
+        df_resid = s.n - k - levels
+        cov, kind, df_t = (inv @ square(hc3[i], "m") @ inv, "HC3", df_resid) if i in alone else (inv @ square(meat[i], "m") @ inv * groups / (groups - 1) * (s.n - 1) / df_resid, "cluster", groups - 1)
+        if any(constant):
+            at, move = centre[i], np.eye(k)
+            move[constant.index(True)] -= np.where(constant, 0.0, np.array(at[1:], dtype=float))
+            beta, cov = move @ beta, move @ cov @ move.T
+            beta[constant.index(True)] += at[0]
+        se, wide = np.sqrt(np.maximum(0, np.diag(cov))), t_quantile(df_t)
+        total = s.yy - (s.sy**2 / s.sw if any(constant) else 0.0)
+        r2 = 1 - (s.yy - float(b @ inv @ b)) / total if total > 0 else None
+        for t, c, d in zip(names, map(float, beta), map(float, se)):
+            ratio = c / d if d > 0 else None
+            out.append((f.model, f.scenario, f.outcome, t, c, d, ratio, p_value(ratio, df_t) if ratio is not None else None, c - wide * d, c + wide * d, s.n, n_input[i], groups, levels, r2, df_resid, kind, s.h, "ok"))
+    return spark.createDataFrame(out, FIT)
+
+
+def wls(df: DataFrame, outcome: Column, terms: dict[str, Column], weight: Column | None = None, cluster: str | None = None, model: str = "model", absorb: str | None = None, ids: list[Column] | None = None) -> DataFrame:
+    """One fit, see `least_squares`."""
+    return least_squares(df, [Fit(model, "main", "y", outcome, weight)], terms, cluster, absorb, ids)
+
+
+def key_terms(fits: DataFrame) -> DataFrame:
+    """Coefficients of fits that succeeded, without intercepts and interactions."""
+    return fits.where((F.col("status") == "ok") & (F.col("term") != "Intercept") & ~F.col("term").contains(":"))
 
 
 def compare_fits(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -86,6 +168,12 @@ def compare_fits(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "term", "full").select("term", "coef_a", "coef_b", (F.col("coef_b") - F.col("coef_a")).alias("difference"), F.coalesce(F.signum("coef_a") == F.signum("coef_b"), F.lit(False)).alias("same_sign"), F.coalesce(F.col("ha") == F.col("hb"), F.lit(False)).alias("same_rows"))
 
 
+def choose_reference(df: DataFrame, column: str, preferred: str | None = None) -> str | None:
+    """The level that others are compared with: the preferred one if it occurs, else the first in order."""
+    got = df.agg(F.max(F.when(F.col(column) == preferred, F.col(column))).alias("p"), F.min(column).alias("m")).first()
+    return got.p or got.m
+
+
 def sample_digest(df: DataFrame, *cols: str) -> DataFrame:
     """One digest of all rows, in whatever order: sum of row hashes and count."""
     return df.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(F.conv(F.substring(digest_of(*[F.col(c) for c in cols]), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")), 256).alias("digest"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.clean import seed_of
+from gridloom.operators.ranks import null_safe, running
 
 
 def grouping_levels(df: DataFrame, levels: dict[str, list[str]], aggs: list[Column]) -> DataFrame:
@@ -15,11 +14,19 @@ def grouping_levels(df: DataFrame, levels: dict[str, list[str]], aggs: list[Colu
     Null keys are left out of the levels that group by them.
     """
     keys = list(dict.fromkeys(k for cols in levels.values() for k in cols))
-    parts = []
-    for name, cols in levels.items():
-        part = df.dropna(subset=cols).groupBy(*cols).agg(*aggs)
-        parts.append(part.select(F.lit(name).alias("group_level"), *[F.col(k) if k in cols else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], *[c for c in part.columns if c not in cols]))
-    return reduce(DataFrame.unionByName, parts)
+    sets = [[F.col(k) for k in cols] for cols in levels.values()]
+    # one scan and one shuffle; grouping_id tells the levels apart, and null keys of the data from keys that a level lacks
+    bits = lambda cols: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in cols)
+    got = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.grouping_id().alias("__g"), *aggs)
+    name, ok = F.lit(None), F.lit(False)
+    for n, cols in levels.items():
+        here = F.col("__g") == bits(cols)
+        name = F.when(here, n).otherwise(name)
+        whole = here
+        for k in cols:
+            whole &= F.col(k).isNotNull()
+        ok |= whole
+    return got.where(ok).select(name.alias("group_level"), *[c for c in got.columns if c != "__g"])
 
 
 def with_total(df: DataFrame, key: str, aggs: list[Column], label: str = "ALL") -> DataFrame:
@@ -75,21 +82,23 @@ def weighted_sample(df: DataFrame, by: list[str], id_: str, weight: str, most: i
     return top_k(df.where(F.col(weight) > 0), by, [key, F.col(id_)], most, "__rank").drop("__rank")
 
 
-def sample_with_replacement(origins: DataFrame, targets: DataFrame, by: str, origin: str, target: str, weight: str, draws: int, seed: int) -> DataFrame:
+def sample_with_replacement(origins: DataFrame, targets: DataFrame, by: str, origin: str, target: str, weight: str, draws: int, seed: int, attempts: int = 1) -> DataFrame:
     """`draws` targets per origin of the same group, chances by weight, with repeats: inverse lookup in cumulative shares.
 
-    Columns: by, origin, draw, target. The lookup is an equi-join on (group, cell of the share), with the cells each target
-    covers, so no origin meets all targets of its group.
+    Columns: by, origin, draw, attempt, target; with `attempts` each draw has as many candidates, of which a caller that
+    rejects some keeps the first. The lookup is an equi-join on (group, cell of the share), with the cells each target
+    covers, so no origin meets all targets of its group. Targets stand in the order of their hashes.
     """
     cells = 256
-    w = Window.partitionBy(by).orderBy(target)
-    t = targets.where(F.col(weight) > 0).select(by, F.col(target).alias("__t"), F.col(weight).alias("__w"))
-    w = Window.partitionBy(by).orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("__hi", F.sum("__w").over(w) / F.sum("__w").over(Window.partitionBy(by))).withColumn("__lo", F.coalesce(F.lag("__hi").over(Window.partitionBy(by).orderBy("__t")), F.lit(0.0)))
+    t = targets.where(F.col(weight) > 0).select(by, F.col(target).alias("__t"), F.col(weight).alias("__w")).withColumn("__h", seed_of(F.col("__t").cast("string"), seed + 1))
+    t = running(t, [by], "__h", {"__to": F.col("__w")}, ["__t"])
+    t = null_safe(t, t.groupBy(by).agg(F.sum("__w").alias("__all")), [by])
+    ends = F.col("__to") >= F.col("__all") * (1 - 1e-12)  # rounding must not leave a draw beyond the last share
+    t = t.withColumn("__hi", F.when(ends, F.lit(1.0)).otherwise(F.col("__to") / F.col("__all"))).withColumn("__lo", F.greatest(F.lit(0.0), (F.col("__to") - F.col("__w")) / F.col("__all")))
     t = t.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__lo") * cells).cast("int"), F.least(F.lit(cells - 1), F.floor(F.col("__hi") * cells).cast("int")))))
-    o = origins.select(by, F.col(origin).alias("__o"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    o = o.withColumn("__u", seed_of(F.concat_ws("|", F.col("__o").cast("string"), F.col("draw").cast("string")), seed)).withColumn("__cell", F.floor(F.col("__u") * cells).cast("int"))
-    return o.join(t, [by, "__cell"]).where((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))).select(by, F.col("__o").alias(origin), "draw", F.col("__t").alias(target))
+    o = origins.select(by, F.col(origin).alias("__o"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    o = o.withColumn("__u", seed_of(F.concat_ws("|", F.col("__o").cast("string"), F.col("draw").cast("string"), F.col("attempt").cast("string")), seed)).withColumn("__cell", F.floor(F.col("__u") * cells).cast("int"))
+    return o.join(t, [by, "__cell"]).where((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))).select(by, F.col("__o").alias(origin), "draw", "attempt", F.col("__t").alias(target))
 
 
 # contracts

@@ -385,18 +385,35 @@ def stratum_examples(spark, root):
     return rollup.strata(load(spark, root, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey", 3)
 
 
-@query(None)
+_DRAW = "(('0x' || substr(sha256('{0}|' || {1}), 1, 13))::BIGINT / 4503599627370496.0)".format
+
+
+@query(f"SELECT city_id, network_type, scale, unit_id FROM local_morphotypes QUALIFY row_number() OVER (PARTITION BY city_id, network_type, scale ORDER BY {_DRAW(42, 'unit_id')}, unit_id) <= 20")
 def balanced_sample(spark, root):
     m = load(spark, root, "local_morphotypes")
     return rollup.balanced_sample(m, ["city_id", "network_type", "scale"], "unit_id", 20, 42).select("city_id", "network_type", "scale", "unit_id")
 
 
-@query(None)
+_SAMPLED = f"""
+WITH u AS (SELECT city_id, unit_id, population_sum AS w, center_lon AS x, center_lat AS y FROM local_morphotypes WHERE city_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY network_type, loaded_at) = 1), p AS (SELECT * FROM u WHERE w > 0),
+o AS (SELECT city_id, unit_id AS origin FROM p QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY -ln(greatest({_DRAW(7, 'unit_id')}, 1e-300)) / w, unit_id) <= 20),
+t AS (SELECT city_id, unit_id, sum(w) OVER k / sum(w) OVER (PARTITION BY city_id) AS hi, (sum(w) OVER k - w) / sum(w) OVER (PARTITION BY city_id) AS lo, row_number() OVER k AS i, count(*) OVER (PARTITION BY city_id) AS n FROM p WINDOW k AS (PARTITION BY city_id ORDER BY {_DRAW(8, 'unit_id')}, unit_id ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT o.city_id, origin, draw, attempt, {_DRAW(7, "origin || '|' || draw || '|' || attempt")} AS r FROM o, range(1, 9) a(draw), range(1, 5) b(attempt)),
+c AS (SELECT d.city_id, origin, draw, attempt, unit_id FROM d JOIN t ON d.city_id = t.city_id AND r >= lo AND (r < hi OR i = n)),
+g AS (SELECT c.*, 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) AS m FROM c JOIN u a ON a.unit_id = c.origin JOIN u b ON b.unit_id = c.unit_id)
+SELECT city_id, origin, draw, unit_id FROM g WHERE NOT isnan(m) AND m >= 500 QUALIFY row_number() OVER (PARTITION BY origin, draw ORDER BY attempt) = 1
+"""
+
+
+@query(_SAMPLED)
 def weighted_od_sample(spark, root):
-    """Origins without replacement and destinations with replacement, both by population."""
+    """Origins without replacement and destinations with replacement, both by population; a destination nearer than 500 m is drawn anew, up to four times."""
     units = rollup.keep_first(load(spark, root, "local_morphotypes").where(F.col("city_id").isNotNull()), ["unit_id"], [F.col("network_type"), F.col("loaded_at")])
-    origins = rollup.weighted_sample(units, ["city_id"], "unit_id", "population_sum", 20, 7)
-    return rollup.sample_with_replacement(origins.withColumnRenamed("unit_id", "origin"), units, "city_id", "origin", "unit_id", "population_sum", 8, 7)
+    origins = rollup.weighted_sample(units, ["city_id"], "unit_id", "population_sum", 20, 7).withColumnRenamed("unit_id", "origin")
+    drawn = rollup.sample_with_replacement(origins, units, "city_id", "origin", "unit_id", "population_sum", 8, 7, attempts=4)
+    at = lambda p, k: units.select(F.col("unit_id").alias(k), F.col("center_lon").alias(f"{p}x"), F.col("center_lat").alias(f"{p}y"))
+    far = drawn.join(at("o", "origin"), "origin").join(at("d", "unit_id"), "unit_id").withColumn("m", geo.haversine_m(F.col("ox"), F.col("oy"), F.col("dx"), F.col("dy"))).where(~F.isnan("m") & (F.col("m") >= 500))
+    return rollup.keep_first(far, ["origin", "draw"], [F.col("attempt")]).select("city_id", "origin", F.col("draw").cast("long").alias("draw"), "unit_id")
 
 
 @query("""

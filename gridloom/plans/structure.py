@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.functions import clean, geo, text
-from gridloom.operators import graph, linkage, model, rollup, spatial
-from gridloom.plans.statistics import METRICS, r6
-from gridloom.runtime import load
+from gridloom.operators import graph, linkage, model, rollup, spatial, stats
+from gridloom.plans.statistics import METRICS, _wq_sql, r6
+from gridloom.runtime import load, materialize
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -44,29 +44,45 @@ def name_variants(spark, root):
     return raw.select("raw_id", F.explode(text.name_variants(F.col("gc_ucn_lis_2025"))).alias("variant"))
 
 
-_TAGS = "['motorway', 'residential', 'footway;path', '[''primary'', ''trunk'']', 'service', NULL]"
-_WAYS = f"SELECT od_id, loaded_at, ({_TAGS})[(od_id % 6 + 1)::INT] AS highway, (['yes', 'private', NULL])[(od_id % 3 + 1)::INT] AS access, (['parking_aisle', NULL])[(od_id % 2 + 1)::INT] AS service, (['yes', '-1', 'no', NULL])[(od_id % 4 + 1)::INT] AS oneway, (['roundabout', NULL, NULL, NULL, NULL])[(od_id % 5 + 1)::INT] AS junction FROM od_detour_samples"
-_FIRST = "nullif(nullif(nullif(nullif(trim(replace(string_split(replace(regexp_replace(regexp_replace(lower(highway), '^\\s*\\[', ''), '\\]\\s*$', ''), ',', ';'), ';')[1], '''', '')), ''), 'nan'), 'none'), 'null')"
+# Tags of units stand for tags of ways: kind, access, own key, area, direction.
+_TAGGED = {"highway": "local_quality_flag", "access": "analysis_scope", "foot": "quality_tier", "area": "CASE WHEN edge_unit THEN 'yes' END", "oneway": "CASE WHEN low_confidence_flag THEN 'yes' ELSE 'no' END", "junction": "anomaly_reason"}
+_DRIVE = text.WayRules(excluded=("excluded",), refused=("sensitivity",))
+_WALK = text.WayRules(excluded=(), refused=("sensitivity", "retained_excluded"), own="foot", granted=("a", "b"))
 
 
 @query(f"""
-WITH w AS ({_WAYS}), k AS (SELECT *, {_FIRST} AS kind FROM w)
-SELECT od_id, loaded_at, kind, coalesce(kind IN ({', '.join(f"'{x}'" for x in text.DRIVE_ALLOWED)}), false) AND coalesce(access, '') NOT IN ('no', 'private') AND coalesce(service, '') NOT IN ('parking_aisle', 'driveway') AS drive,
- coalesce(kind NOT IN ({', '.join(f"'{x}'" for x in text.WALK_EXCLUDED)}), false) AND coalesce(access, '') NOT IN ('no', 'private') AS walk,
- CASE WHEN oneway IN ('-1', 'reverse') THEN 'backward' WHEN oneway IN ('yes', 'true', '1') OR junction = 'roundabout' THEN 'forward' ELSE 'both' END AS direction FROM k
+WITH w AS (SELECT unit_id, network_type, loaded_at, {', '.join(f"nullif(lower(trim({v})), '') AS {k}" for k, v in _TAGGED.items())} FROM local_morphotypes)
+SELECT unit_id, network_type, loaded_at, highway AS kind, highway IS NOT NULL AND highway <> 'excluded' AND coalesce(area, '') <> 'yes' AND coalesce(access, '') <> 'sensitivity' AS drive,
+ highway IS NOT NULL AND coalesce(area, '') <> 'yes' AND NOT (coalesce(foot, '') IN ('no', 'private') OR (coalesce(access, '') IN ('sensitivity', 'retained_excluded') AND coalesce(foot, '') NOT IN ('a', 'b'))) AS walk,
+ CASE WHEN oneway IN ('-1', 'reverse') THEN 'backward' WHEN oneway IN ('yes', 'true', '1') OR junction = 'roundabout' THEN 'forward' ELSE 'both' END AS direction FROM w
 """)
 def way_rules(spark, root):
-    """Admission and direction of ways by their tags; the tags are derived from the samples' ids."""
-    od = load(spark, root, "od_detour_samples")
-    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("od_id") % len(v)).cast("int"))
-    w = od.select("od_id", "loaded_at", pick("motorway", "residential", "footway;path", "['primary', 'trunk']", "service", None).alias("highway"), pick("yes", "private", None).alias("access"), pick("parking_aisle", None).alias("service"), pick("yes", "-1", "no", None).alias("oneway"), pick("roundabout", None, None, None, None).alias("junction"))
-    c = F.col
-    return w.select("od_id", "loaded_at", text.first_value(c("highway")).alias("kind"), text.way_allowed(c("highway"), c("access"), c("service"), "drive").alias("drive"), text.way_allowed(c("highway"), c("access"), c("service"), "walk").alias("walk"), text.way_direction(c("oneway"), c("junction"), "drive").alias("direction"))
+    """Admission to two networks by parametric tag rules, and direction."""
+    tags = F.create_map(*[x for k, v in _TAGGED.items() for x in (F.lit(k), F.expr(v))])
+    w = load(spark, root, "local_morphotypes").select("unit_id", "network_type", "loaded_at", tags.alias("t"))
+    t = F.col("t")
+    return w.select("unit_id", "network_type", "loaded_at", text.first_value(t["highway"]).alias("kind"), text.way_allowed(t, _DRIVE).alias("drive"), text.way_allowed(t, _WALK).alias("walk"), text.way_direction(t["oneway"], t["junction"], "drive").alias("direction"))
+
 
+_WORDS = {"network": ("http", "socket", "curl"), "storage": ("cache", "buffer", "disk"), "test": ("assert", "unittest"), "licence": ("license", "copyright", "warranty")}
 
-@query("WITH d AS (SELECT doc_id, lower(text) AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS category FROM d WHERE " + " OR ".join(f"contains(t, '{w}')" for w in ws) for n, ws in text.CATEGORY_TOKENS.items()))
+
+@query("WITH d AS (SELECT doc_id, lower(text) AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS category FROM d WHERE " + " OR ".join(f"contains(t, '{w}')" for w in ws) for n, ws in _WORDS.items()))
 def facility_categories(spark, root):
-    return load(spark, root, "documents").select("doc_id", F.explode(text.categories_in(F.col("text"))).alias("category"))
+    return load(spark, root, "documents").select("doc_id", F.explode(text.categories_in(F.col("text"), _WORDS)).alias("category"))
+
+
+@query("""
+WITH p AS (SELECT unit_id, network_type, loaded_at, lower(trim(quality_tier)) AS v, lower(trim(local_quality_flag)) AS flag, lower(trim(analysis_scope)) AS scope FROM local_morphotypes),
+c AS (SELECT *, CASE WHEN v IN ('a', 'b') THEN ['best'] WHEN v = 'c' THEN ['fair'] END AS own, [CASE WHEN flag = 'excluded' THEN 'doubtful' END, CASE WHEN scope IS NOT NULL AND scope NOT IN ('', 'no') THEN 'placed' END] AS other FROM p)
+SELECT unit_id, network_type, loaded_at, array_to_string(coalesce(own, list_filter(other, lambda x: x IS NOT NULL)), ';') AS categories FROM c
+""")
+def tag_categories(spark, root):
+    """Categories of a primary tag by rules, else of the other tags."""
+    rules = {"best": {"tier": ("a", "b")}, "fair": {"tier": ("c",)}, "doubtful": {"flag": ("excluded",)}, "placed": {"scope": None}}
+    u = load(spark, root, "local_morphotypes")
+    tags = F.create_map(F.lit("flag"), F.coalesce("local_quality_flag", F.lit("")), F.lit("scope"), F.coalesce("analysis_scope", F.lit("")))
+    return u.select("unit_id", "network_type", "loaded_at", F.array_join(text.categories_of(F.lit("tier"), F.coalesce("quality_tier", F.lit("")), tags, rules), ";").alias("categories"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS flat, 'k=' || json_extract_string(props, '$.k') AS tag FROM events")
@@ -230,9 +246,19 @@ def od_routing(spark, root):
     return got.select("od_id", "o", "t", F.round("route_length_m", 3).alias("route_length_m"), F.round("detour_ratio", 6).alias("detour_ratio"), "route_found", "failure_reason")
 
 
-@query(None)
+_CHAINS = f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT u || chr(31) || v AS e, u, v, length FROM ({_UND})), ends AS MATERIALIZED (SELECT e, u AS node, length FROM e UNION ALL SELECT e, v, length FROM e),
+deg AS MATERIALIZED (SELECT node, count(*) AS k, min(e) AS a, max(e) AS b FROM ends GROUP BY node), l AS MATERIALIZED (SELECT a, b FROM deg WHERE k = 2 UNION SELECT b, a FROM deg WHERE k = 2),
+r(e, root) AS (SELECT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON r.e = l.a WHERE r.root < l.b), c AS (SELECT e, min(root) AS root FROM r GROUP BY e),
+g AS MATERIALIZED (SELECT e.e, coalesce(c.root, e.e) AS root, length FROM e LEFT JOIN c USING (e)), t AS (SELECT root, sum(length) AS length, count(*) AS parts FROM g GROUP BY root),
+o AS (SELECT root, coalesce(min(CASE WHEN k <> 2 THEN node END), min(node)) AS u, coalesce(max(CASE WHEN k <> 2 THEN node END), min(node)) AS v FROM ends JOIN g USING (e) JOIN deg USING (node) GROUP BY root)
+SELECT u, v, round(length, 3) AS length, parts FROM o JOIN t USING (root)
+"""
+
+
+@query(_CHAINS)
 def contract_chains(spark, root):
-    return graph.contract_chains(_edges(spark, root), "length")
+    return graph.contract_chains(_edges(spark, root), "length").select("u", "v", F.round("length", 3).alias("length"), "parts")
 
 
 @query(None)
@@ -258,18 +284,95 @@ def wls_cluster_robust(spark, root):
     return fit.select("term", r6("coef", "coef"), F.round("std_err", 6).alias("std_err"), "nobs", "clusters")
 
 
-@query(None)
+_HC3 = """
+WITH r AS (SELECT detour_ratio AS y, origin_type_confidence AS x, od_pair_weight_raw AS w FROM od_detour_samples WHERE isfinite(detour_ratio) AND isfinite(origin_type_confidence) AND isfinite(od_pair_weight_raw) AND od_pair_weight_raw > 0),
+m AS (SELECT sum(w * x) / sum(w) AS mx FROM r), q AS (SELECT y, x - mx AS x, w FROM r, m), s AS (SELECT count(*) AS n, sum(w) AS sw, sum(w * x * x) AS sxx, sum(w * y) / sum(w) AS a, sum(w * x * y) / sum(w * x * x) AS b FROM q),
+u AS (SELECT x, n, sxx, b, pow(w * (y - a - b * x) / (1 - w * (1 / sw + x * x / sxx)), 2) AS u FROM q, s)
+SELECT 'origin_type_confidence' AS term, round(max(b), 6) + 0.0 AS coef, round(sqrt(sum(u * x * x)) / max(sxx), 6) AS std_err, max(n) AS nobs, 'HC3' AS cov_type FROM u
+"""
+
+
+@query(_HC3)
+def wls_hc3(spark, root):
+    """A weighted fit without clusters: errors that allow for unequal variance and leverage."""
+    fit = model.wls(load(spark, root, "od_detour_samples"), F.col("detour_ratio"), {"Intercept": F.lit(1.0), "origin_type_confidence": F.col("origin_type_confidence")}, F.col("od_pair_weight_raw"))
+    return fit.where(F.col("term") != "Intercept").select("term", r6("coef", "coef"), F.round("std_err", 6).alias("std_err"), "nobs", "cov_type")
+
+
+_ABSORBED = """
+WITH r AS (SELECT detour_ratio AS y, origin_type_confidence AS x, od_pair_weight_raw AS w, city_id AS g FROM od_detour_samples WHERE isfinite(detour_ratio) AND isfinite(origin_type_confidence) AND isfinite(od_pair_weight_raw) AND od_pair_weight_raw > 0 AND city_id IS NOT NULL),
+m AS (SELECT g, sum(w * y) / sum(w) AS my, sum(w * x) / sum(w) AS mx FROM r GROUP BY g), q AS (SELECT y - my AS y, x - mx AS x, w, g FROM r JOIN m USING (g)), s AS (SELECT count(*) AS n, sum(w * x * x) AS sxx, sum(w * x * y) / sum(w * x * x) AS b FROM q),
+c AS (SELECT g, sum(w * x * (y - b * x)) AS u FROM q, s GROUP BY g), k AS (SELECT count(*) AS k, sum(u * u) AS m FROM c)
+SELECT 'origin_type_confidence' AS term, round(b, 6) + 0.0 AS coef, round(sqrt(m / (sxx * sxx) * k / (k - 1.0) * (n - 1.0) / (n - 1 - k)), 6) AS std_err, n AS nobs, k AS clusters, n - 1 - k AS df_resid FROM s, k
+"""
+
+
+@query(_ABSORBED)
+def wls_absorbed(spark, root):
+    """City effects taken out of a weighted fit, counted in its degrees of freedom, with errors by city."""
+    od = load(spark, root, "od_detour_samples").where(F.col("city_id").isNotNull())
+    fit = model.wls(od, F.col("detour_ratio"), {"origin_type_confidence": F.col("origin_type_confidence")}, F.col("od_pair_weight_raw"), "city_id", absorb="city_id")
+    return fit.select("term", r6("coef", "coef"), F.round("std_err", 6).alias("std_err"), "nobs", "clusters", "df_resid")
+
+
+LEVELS = [f"MT{i:02d}" for i in range(2, 11)]
+
+
+@query(None)  # nine dummies: tested against explicit dummies of types and cities
 def model_by_type(spark, root):
     """Detour by origin type with city effects absorbed, weighted and unweighted on the same rows."""
-    levels = [f"MT{i:02d}" for i in range(2, 11)]
-    d = model.dummies("origin_morphotype", levels)
     od = load(spark, root, "od_detour_samples").where(F.col("city_id").isNotNull() & F.col("origin_morphotype").isNotNull() & clean.finite(F.col("detour_ratio")).isNotNull() & (F.col("od_pair_weight_raw") > 0))
-    wide = od.select("city_id", F.col("detour_ratio").alias("y"), F.col("od_pair_weight_raw").alias("w"), *[c.alias(f"t{i}") for i, c in enumerate(d.values())])
-    cols = ["y", *[f"t{i}" for i in range(len(d))]]
-    terms = {n: F.col(f"t{i}") for i, n in enumerate(d)}
-    a = model.wls(model.within(wide, "city_id", cols, "w"), F.col("y"), terms, F.col("w"), "city_id", "weighted")
-    b = model.wls(model.within(wide.withColumn("w", F.lit(1.0)), "city_id", cols, "w"), F.col("y"), terms, F.col("w"), "city_id", "plain")
-    return model.compare_fits(a, b).withColumn("level", text.term_level(F.col("term"))).withColumn("kind", text.term_kind(F.col("term")))
+    fit = lambda w, n: model.wls(od, F.col("detour_ratio"), model.dummies("origin_morphotype", LEVELS), w, "city_id", n, "city_id", [F.col("od_id"), F.col("loaded_at")])
+    return model.compare_fits(fit(F.col("od_pair_weight_raw"), "weighted"), fit(None, "plain")).withColumn("level", text.term_level(F.col("term"))).withColumn("kind", text.term_kind(F.col("term")))
+
+
+_TABLE_A = f"""
+WITH a AS (SELECT city_id, origin_morphotype AS morphotype, count(*) AS pairs, sum(od_pair_weight_raw) AS weight, sum(CASE WHEN route_found THEN od_pair_weight_raw END) AS routed_weight,
+  sum(CASE WHEN isfinite(detour_ratio) THEN od_pair_weight_raw * detour_ratio END) / nullif(sum(CASE WHEN isfinite(detour_ratio) THEN od_pair_weight_raw END), 0) AS detour, avg(origin_type_confidence) AS confidence
+  FROM od_detour_samples WHERE city_id IS NOT NULL AND origin_morphotype IS NOT NULL GROUP BY ALL),
+q AS ({_wq_sql("city_id, origin_morphotype", "detour_ratio", "od_pair_weight_raw", "od_detour_samples", dict(p50=0.5, p90=0.9))}),
+c AS (SELECT city_id, ln(sum(CASE WHEN population_sum > 0 THEN population_sum END)) AS log_population, avg(quality_score) AS quality_score FROM local_morphotypes WHERE city_id IS NOT NULL GROUP BY city_id)
+SELECT a.city_id, a.morphotype, pairs, round(weight, 6) AS weight, round(detour, 6) AS detour, round(ln(greatest(detour, 1e-9)), 6) AS log_detour, p50, p90, round(routed_weight / nullif(weight, 0), 6) AS routed_share, round(log_population, 6) AS log_population, round(quality_score, 6) AS quality_score,
+ pairs >= 30 AS pairs_ge_30, pairs >= 100 AS pairs_ge_100, round(confidence, 6) AS confidence FROM a LEFT JOIN q ON a.city_id = q.city_id AND a.morphotype = q.origin_morphotype LEFT JOIN c ON a.city_id = c.city_id
+"""
+
+
+def _table_a(spark, root) -> DataFrame:
+    c = F.col
+    keys = ["city_id", "origin_morphotype"]
+    od = load(spark, root, "od_detour_samples").where(c("city_id").isNotNull() & c("origin_morphotype").isNotNull())
+    known = F.when(clean.finite(c("detour_ratio")).isNotNull(), c("od_pair_weight_raw"))
+    a = od.groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum("od_pair_weight_raw").alias("weight"), F.sum(F.when(c("route_found"), c("od_pair_weight_raw"))).alias("routed_weight"), clean.safe_divide(F.sum(known * clean.finite(c("detour_ratio"))), F.sum(known)).alias("detour"), F.avg("origin_type_confidence").alias("confidence"))
+    q = stats.weighted_quantiles(od, keys, "detour_ratio", "od_pair_weight_raw", {"p50": 0.5, "p90": 0.9})
+    controls = load(spark, root, "local_morphotypes").where(c("city_id").isNotNull()).groupBy("city_id").agg(F.log(F.sum(F.when(c("population_sum") > 0, c("population_sum")))).alias("log_population"), F.avg("quality_score").alias("quality_score"))
+    out = a.join(q, keys, "left").join(controls, "city_id", "left")
+    return out.withColumnRenamed("origin_morphotype", "morphotype").withColumn("routed_share", clean.safe_divide(c("routed_weight"), c("weight"))).withColumn("log_detour", F.log(F.greatest(c("detour"), F.lit(1e-9))))
+
+
+@query(_TABLE_A)
+def city_type_model_table(spark, root):
+    """One row per city and type: outcomes, weights, controls of the city and thresholds of sample size."""
+    t = _table_a(spark, root)
+    n = ("weight", "detour", "log_detour", "p50", "p90", "routed_share", "log_population", "quality_score", "confidence")
+    return t.select("city_id", "morphotype", "pairs", *[r6(x, x) for x in n], (F.col("pairs") >= 30).alias("pairs_ge_30"), (F.col("pairs") >= 100).alias("pairs_ge_100"))
+
+
+_OUTCOMES = ("log_detour", "detour", "p50", "p90", "routed_share")
+
+
+def _suite(spark, root) -> DataFrame:
+
+
+    t, c = materialize(_table_a(spark, root), "table_a"), F.col
+    scenarios = {"main": F.lit(True), "high_confidence": c("confidence") >= 70, "pairs_ge_30": c("pairs") >= 30, "pairs_ge_100": c("pairs") >= 100, "unweighted": c("weight") > 0}
+    fits = [model.Fit(f"A_{o}", s, o, c(o), None if s == "unweighted" else c("weight"), cond) for s, cond in scenarios.items() for o in _OUTCOMES]
+    return model.least_squares(t, fits, model.dummies("morphotype", LEVELS), "city_id", "city_id", [c("city_id"), c("morphotype")])
+
+
+@query(None)  # refits in every scenario: tested against explicit dummies
+def model_suite(spark, root):
+    """Five outcomes by type with city effects, refitted in five scenarios; failures are rows."""
+    return _suite(spark, root).select("model", "scenario", "outcome", "term", "coef", "std_err", "t", "p", "ci_low", "ci_high", "nobs", "clusters", "df_resid", "cov_type", "status")
 
 
 FEATURES = ["edge_density_km_per_km2_z", "average_node_degree_z", "four_way_share_z", "dead_end_share_z", "segment_length_mean_z", "orientation_order_z"]

@@ -54,25 +54,27 @@ def first_available(*tables: DataFrame | None) -> DataFrame:
     return given[-1]
 
 
-def detect_column(columns: list[str], preferred: list[str], contains_all: list[list[str]] = ()) -> str | None:
-    """Column whose normalised name is one of the preferred, else the first that contains all words of a set."""
-    norm = lambda s: re.sub(r"[^a-z0-9]+", "", s.lower())
-    by = {norm(c): c for c in reversed(columns)}
-    for p in preferred:
-        if norm(p) in by:
-            return by[norm(p)]
-    for words in contains_all:
-        for c in columns:
-            if all(norm(w) in norm(c) for w in words):
-                return c
-    return None
+def match_column(columns: list[str], names: list[str], words: list[list[str]] = ()) -> str | None:
+    """The best match of a wanted column: by the rank of its name among `names`, then by the first set of `words` that its name holds.
+
+    Names are compared by their letters and digits only. Earlier columns win among equals.
+    """
+    plain = [re.sub(r"[^a-z0-9]+", "", c.lower()) for c in [*columns, *names]]
+    here, wanted = plain[: len(columns)], {p: i for i, p in reversed(list(enumerate(plain[len(columns) :])))}
+
+    def rank(at: int) -> float:
+        held = [i for i, ws in enumerate(words) if all(re.sub(r"[^a-z0-9]+", "", w.lower()) in here[at] for w in ws)]
+        return wanted.get(here[at], len(names) + held[0] if held else float("inf"))
+
+    best = min(range(len(columns)), key=rank, default=None)
+    return None if best is None or rank(best) == float("inf") else columns[best]
 
 
 def canonical_columns(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Columns renamed to canonical names by their aliases; names that exist already win."""
     names = {}
     for target, alts in aliases.items():
-        if target not in df.columns and (c := detect_column([x for x in df.columns if x not in names], alts)):
+        if target not in df.columns and (c := match_column([x for x in df.columns if x not in names], alts)):
             names[c] = target
     return df.withColumnsRenamed(names)
 

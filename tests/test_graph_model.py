@@ -109,8 +109,37 @@ def test_wls_and_failures(spark):
     assert np.allclose([fit["Intercept"].coef, fit["x"].coef], beta) and np.allclose([fit["Intercept"].std_err, fit["x"].std_err], np.sqrt(np.diag(cov)))
     assert model.wls(df.limit(2), F.col("y"), {"x": F.col("x")}).first().status == "too_few_rows"
     assert model.wls(df, F.col("y"), {"x": F.col("x"), "x2": F.col("x") * 2}).first().status == "singular_design"
-    plain = model.within(df.dropna(), "g", ["y", "x"], "w")
-    assert abs(plain.groupBy("g").agg(F.sum(F.col("x") * F.col("w")).alias("s")).agg(F.max(F.abs("s"))).first()[0]) < 1e-9
+
+
+def test_absorbed_levels_equal_explicit_dummies(spark):
+    rng = np.random.default_rng(5)
+    n, levels = 400, 9
+    f, x1 = rng.integers(0, levels, n), rng.normal(1000, 1, n)
+    x2, w = (rng.random(n) < 0.4).astype(float), rng.uniform(0.5, 2, n)
+    y = 5 + 0.5 * x1 - 2 * x2 + f + rng.normal(size=n)
+    df = spark.createDataFrame([(i, *map(float, t[:-1]), int(t[-1])) for i, t in enumerate(zip(y, x1, x2, w, f))], "id int, y double, x1 double, x2 double, w double, f int")
+    terms = {"x1": F.col("x1"), "x2": F.col("x2")}
+    z = np.column_stack((x1 - 1000, x2, *[(f == k).astype(float) for k in range(levels)]))
+    inv = np.linalg.inv(z.T @ (z * w[:, None]))
+    beta = inv @ z.T @ (w * y)
+    e = y - z @ beta
+    s = np.array([(z * (w * e)[:, None])[f == k].sum(0) for k in range(levels)])
+    cov = inv @ (s.T @ s) @ inv * levels / (levels - 1) * (n - 1) / (n - 2 - levels)
+    got = model.wls(df, F.col("y"), terms, F.col("w"), "f", absorb="f", ids=[F.col("id")]).collect()
+    assert np.allclose([r.coef for r in got], beta[:2]) and np.allclose([r.std_err for r in got], np.sqrt(np.diag(cov))[:2]) and got[0].absorbed == levels and got[0].df_resid == n - 2 - levels
+    lever = w * np.einsum("ij,jk,ik->i", z, inv, z)
+    u = (w * e / (1 - lever)) ** 2
+    hc3 = inv @ (z.T @ (z * u[:, None])) @ inv
+    alone = model.wls(df, F.col("y"), terms, F.col("w"), absorb="f").collect()
+    assert alone[0].cov_type == "HC3" and np.allclose([r.std_err for r in alone], np.sqrt(np.diag(hc3))[:2])
+    both = model.compare_fits(model.wls(df, F.col("y"), terms, F.col("w"), "f", absorb="f", ids=[F.col("id")]), model.wls(df, F.col("y"), terms, None, "f", absorb="f", ids=[F.col("id")])).collect()
+    assert all(r.same_rows for r in both)
+    many = model.least_squares(df, [model.Fit("m", "all", "y", F.col("y"), F.col("w")), model.Fit("m", "half", "y", F.col("y"), None, F.col("id") < 200), model.Fit("m", "none", "y", F.col("y"), None, F.col("id") < 0)], terms, "f", "f")
+    assert {(r.scenario, r.status) for r in many.collect()} == {("all", "ok"), ("half", "ok"), ("none", "too_few_rows")}
+
+
+def test_student_t():
+    assert abs(model.p_value(2.228, 10) - 0.05) < 1e-4 and abs(model.t_quantile(30) - 2.0423) < 1e-3 and abs(model.p_value(12.706, 1) - 0.05) < 1e-4
 
 
 def test_pca_and_mixture(spark):

@@ -23,7 +23,8 @@ def test_parquet_projection_optional_and_many(spark, tmp_path):
     both = tables.read_parquet(spark, [str(tmp_path / "p1"), str(tmp_path / "p2")], ["id", "y", "nothing"])
     assert both.columns == ["id", "y"] and both.count() == 5
     assert tables.read_optional(spark, str(tmp_path / "none"), SCHEMA).count() == 0
-    assert tables.detect_column(["Main Name 2025", "ID"], ["name"], [["main", "name"]]) == "Main Name 2025"
+    assert tables.match_column(["Main Name 2025", "ID"], ["name"], [["main", "name"]]) == "Main Name 2025"
+    assert tables.match_column(["b name", "Name", "N-ame"], ["title", "name"], [["b"]]) == "Name" and tables.match_column(["x"], ["y"]) is None and tables.match_column([], ["y"]) is None
     assert tables.canonical_columns(spark.createDataFrame([(1,)], "`Avg Degree` int"), {"degree": ["avg_degree"]}).columns == ["degree"]
     assert tables.first_available(None, spark.range(0), spark.range(4)).count() == 4
 
@@ -51,7 +52,9 @@ def test_status_bundle_manifest(spark, tmp_path):
     assert names == ["A_B", "a_b_2", "x" * 31]
     with pytest.raises(Exception):
         sinks.write_guarded(ev, str(tmp_path / "log"))
-    sinks.write_manifest(str(tmp_path / "m.json"), {"a": float("nan"), "b": [1, float("inf")]})
+    sinks.write_manifest(spark, str(tmp_path / "m.json"), {"a": float("nan"), "b": [1, float("inf")]})
+    sinks.write_manifest(spark, str(tmp_path / "m.json"), {"a": float("nan"), "b": [1, float("inf")]})
+    assert sinks.sheet_names(["a", "A", "a_2", "a", ""]) == ["a", "A_2", "a_2_2", "a_3", "sheet"]
     assert json.loads((tmp_path / "m.json").read_text()) == {"a": None, "b": [1, None]}
     assert "First 1 rows" in sinks.markdown_table(ev, 1) and sinks.column_dictionary(t=ev).count() == 3
     assert tables.inventory(spark, str(tmp_path / "book")).count() > 0
