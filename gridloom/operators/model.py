@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from gridloom.functions.clean import clip, digest_of, finite
 from gridloom.operators.ranks import null_safe, quantiles
+from gridloom.runtime import materialize, release
 
 MAX_TERMS = 400
 
@@ -90,7 +91,7 @@ def least_squares(df: DataFrame, fits: list[Fit], terms: dict[str, Column], clus
         (F.col(cluster) if cluster else F.lit("")).alias("g"), (F.col(absorb) if absorb else F.lit("")).alias("f"), F.explode(cells).alias("c"),
     ).where(F.col("c.in"))
     n_input = {r.fit: r.n for r in base.groupBy(F.col("c.fit").alias("fit")).agg(F.count("*").alias("n")).collect()}
-    rows = base.select("c.fit", "c.y", "c.w", *xs, "id", "g", "f").dropna().where(F.col("w") > 0)
+    rows = stored = materialize(base.select("c.fit", "c.y", "c.w", *xs, "id", "g", "f").dropna().where(F.col("w") > 0), "fit")  # read by every step
     cols, by = ["y", *xs], ["fit", "f"] if absorb else ["fit"]
     # with neither levels nor an intercept nothing may be shifted; an intercept itself stays
     moved = [absorb is not None or (any(constant) and (i == 0 or not constant[i - 1])) for i in range(k + 1)]
@@ -133,6 +134,7 @@ def least_squares(df: DataFrame, fits: list[Fit], terms: dict[str, Column], clus
             h = w * (dot(F.col("xa"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), line)) + 1.0 / F.col("fw"))
             known = known.withColumn("u", F.pow(w * F.col("e") / F.greatest(F.lit(1e-12), 1 - h), F.lit(2.0)))
             hc3 = {r.fit: r for r in known.where(F.col("fit").isin(alone)).groupBy("fit").agg(*[F.sum(F.col("u") * x[i] * x[j]).alias(f"m{i}_{j}") for i, j in pairs]).collect()}
+    release(stored)
     for i, (s, levels, inv, beta, b) in solved.items():
         f, groups = fits[i], meat[i].g if i in meat else None
         df_resid = s.n - k - levels

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gridloom.plans import assembly, general, statistics, structure
+from gridloom.plans import assembly, general, package, statistics, structure
 
-MODULES = (statistics, structure, assembly, general)
+MODULES = (statistics, structure, assembly, package, general)
 
 
 def queries() -> dict[str, Callable]:

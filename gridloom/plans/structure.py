@@ -375,6 +375,16 @@ def model_suite(spark, root):
     return _suite(spark, root).select("model", "scenario", "outcome", "term", "coef", "std_err", "t", "p", "ci_low", "ci_high", "nobs", "clusters", "df_resid", "cov_type", "status")
 
 
+@query(None)
+def controlled_interaction_fit(spark, root):
+    """Degree of units by type and network with their interaction, controls of quality and confidence, errors by city."""
+    u = load(spark, root, "local_morphotypes").where(F.col("city_id").isNotNull() & F.col("morphotype").isNotNull())
+    kinds, nets = model.dummies("morphotype", LEVELS), model.dummies("network_type", ["walk"])
+    terms = {"Intercept": F.lit(1.0), **kinds, **nets, **model.interactions(kinds, nets), "quality_score": F.col("quality_score"), "type_confidence": F.col("type_confidence")}
+    fit = model.wls(u, F.col("average_node_degree"), terms, F.col("population_sum"), "city_id", "B_interaction", ids=[F.col("unit_id"), F.col("network_type"), F.col("loaded_at")])
+    return fit.select("term", "coef", "std_err", "p", "nobs", "clusters", "cov_type", "status")
+
+
 FEATURES = ["edge_density_km_per_km2_z", "average_node_degree_z", "four_way_share_z", "dead_end_share_z", "segment_length_mean_z", "orientation_order_z"]
 ALL_FEATURES = [f"{m}_z" for m in METRICS]
 _F = "(CASE WHEN isfinite({0}) THEN {0} END)".format
