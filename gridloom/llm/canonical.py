@@ -97,10 +97,23 @@ def _canonical_udf(texts: pd.Series) -> pd.Series:
 
 
 def canonical_text(text: Column) -> Column:
-    """Canonical form of a column; null stays null and '' stays ''. ASCII text does not leave the JVM's fast path unchanged."""
+    """Canonical form of a column; null stays null and '' stays ''. ASCII text comes back as it is, at the cost of a look.
+
+    The form is a key for comparison: letters that look Latin become Latin, so words of other scripts come out mixed.
+    """
     return _canonical_udf(text)
 
 
+def alike_classes(df: DataFrame, group: list[str], text: str) -> DataFrame:
+    """(group columns, form, spellings, rows) of the classes of texts that look the same in a group but differ; one row a class, however large.
+
+    Null and empty texts are in no class. Equal rows are counted before they meet.
+    """
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).groupBy(*group, F.col(text).alias("__v")).agg(F.count("*").alias("__n"))
+    forms = rows.withColumn("form", canonical_text(F.col("__v")))
+    return forms.groupBy(*group, "form").agg(F.count("*").alias("spellings"), F.sum("__n").alias("rows")).where(F.col("spellings") > 1)
+
+
 def alike_pairs(df: DataFrame, key: str, group: list[str], text: str) -> DataFrame:
     """Pairs key_a < key_b of rows of one group whose texts look the same but are different strings.
 

@@ -2,7 +2,7 @@ import unicodedata
 
 from hypothesis import given, settings, strategies as st
 
-from gridloom.llm.canonical import alike_pairs, canonical, canonical_text, canonical_whole
+from gridloom.llm.canonical import alike_classes, alike_pairs, canonical, canonical_text, canonical_whole
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,10 @@ def test_pairs(spark):
     assert alike_pairs(df.where("false"), "id", ["batch"], "name").count() == 0
     got = [r.c for r in df.orderBy(F.col("id").asc_nulls_first()).select(canonical_text(F.col("name")).alias("c")).collect()]
     assert got.count(None) == 1 and got.count("") == 1
+
+
+def test_classes_count_rows_and_spellings(spark):
+    rows = [("a", "Ｒｏｍ")] * 5 + [("a", "Rom")] * 3 + [("a", "Bern"), ("b", "Rom"), ("a", None), ("a", "")]
+    got = alike_classes(spark.createDataFrame(rows, "g string, t string"), ["g"], "t").collect()
+    assert [(r.g, r.form, r.spellings, r.rows) for r in got] == [("a", "Rom", 2, 8)]
+    assert alike_classes(spark.createDataFrame([], "g string, t string"), ["g"], "t").count() == 0
