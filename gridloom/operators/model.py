@@ -12,7 +12,7 @@ from gridloom.functions.clean import clip, digest_of, finite
 from gridloom.operators.ranks import null_safe, quantiles
 from gridloom.runtime import materialize, release
 
-MAX_TERMS = 400
+MAX_TERMS, WARD_ROWS = 400, 3000
 
 
 def dummies(column: str, levels: list[str]) -> dict[str, Column]:
@@ -234,10 +234,30 @@ def mixture_grid(df: DataFrame, features: list[str], ks: list[int], seeds: list[
     return rows, models
 
 
-def choose_k(rows: list[tuple]) -> int:
-    """Lowest BIC among those whose clusters are large enough, else the lowest of all; the smaller k on ties."""
+def choose_k(rows: list[tuple], silhouettes: dict[int, float] | None = None) -> int:
+    """Lowest BIC among those whose clusters are large enough, else the lowest of all; on ties the larger silhouette, then the smaller k."""
     fit = [r for r in rows if r[5]] or rows
-    return min(fit, key=lambda r: (r[3], r[0]))[0]
+    return min(fit, key=lambda r: (r[3], -(silhouettes or {}).get(r[0], 0.0), r[0]))[0]
+
+
+def silhouette(df: DataFrame, features: list[str], cluster: str) -> float | None:
+    """Mean silhouette by squared distances, from sums per cluster; null for fewer than two clusters."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    labels = {r[0]: i for i, r in enumerate(df.select(cluster).where(F.col(cluster).isNotNull()).distinct().orderBy(cluster).collect())}  # one row a cluster
+    if len(labels) < 2:
+        return None
+    number = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.col(cluster)].cast("double")
+    rows = VectorAssembler(inputCols=features, outputCol="__f").transform(df.dropna(subset=[*features, cluster]).withColumn("__c", number))
+    return ClusteringEvaluator(featuresCol="__f", predictionCol="__c", metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(rows)
+
+
+def assignment_flags(df: DataFrame, core: Column, probability: str = "probability", margin: str = "margin", sure: float = 0.6, apart: float = 0.15) -> DataFrame:
+    """Adds scope (main_fit or projected), low_confidence, ambiguous and their reason, ';' between several."""
+    low, near = F.coalesce(F.col(probability) < sure, F.lit(True)), F.coalesce(F.col(margin) < apart, F.lit(True))
+    out = df.withColumn("scope", F.when(F.coalesce(core, F.lit(False)), "main_fit").otherwise("projected")).withColumn("low_confidence", low).withColumn("ambiguous", near)
+    return out.withColumn("reason", F.array_join(F.array_compact(F.array(F.when(low, "low_probability"), F.when(near, "ambiguous_cluster"), F.when(F.col("scope") == "projected", "projected"))), ";"))
 
 
 def assign(df: DataFrame, model, features: list[str], prefix: str = "MT") -> DataFrame:
@@ -273,8 +293,10 @@ def cluster_scores(df: DataFrame, features: list[str], cluster: str) -> DataFram
 
 
 def ward(points: np.ndarray, k: int) -> np.ndarray:
-    """Ward clustering of a bounded sample on one machine: labels of k clusters."""
+    """Ward clustering of a sample of at most WARD_ROWS on one machine: labels of k clusters."""
     n = len(points)
+    if n > WARD_ROWS:
+        raise ValueError(f"a diagnostic for at most {WARD_ROWS} rows, as distances of all pairs are held")
     label, size, centre = np.arange(n), np.ones(n), points.astype(float).copy()
     d = ((centre[:, None] - centre[None]) ** 2).sum(-1) / 2
     np.fill_diagonal(d, np.inf)

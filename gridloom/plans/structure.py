@@ -417,13 +417,14 @@ def pca_projection(spark, root):
 
 @query(None)
 def gmm_typology(spark, root):
-    """Mixture with the number of clusters by BIC, all units assigned with probability and margin."""
+    """Mixture with the number of clusters by BIC, all units assigned with probability, margin, scope and reasons for doubt."""
     out = _reduced(spark, root)
     pcs = [c for c in out.columns if c.startswith("pc")]
     main = out.where(F.col("sample_group") == "main")
     k = model.choose_k(model.mixture_grid(main, pcs, list(range(4, 11)), seeds=[1, 2, 3])[0])
     fit = model.mixture_grid(main, pcs, [k], seeds=[1, 2, 3, 4, 5])[1][k]
-    return model.assign(out, fit, pcs).select("unit_id", "network_type", "loaded_at", "cluster", "probability", "margin")
+    told = model.assignment_flags(model.assign(out, fit, pcs), F.col("sample_group") == "main")
+    return told.select("unit_id", "network_type", "loaded_at", "cluster", "probability", "margin", "scope", "reason")
 
 
 # contracts

@@ -84,6 +84,29 @@ def markdown_table(df: DataFrame, rows: int = 20) -> str:
     return "\n".join([f"| {' | '.join(df.columns)} |", "|" + " --- |" * len(df.columns), *body[:rows], *([f"\nFirst {rows} rows."] if len(body) > rows else [])])
 
 
+def shapes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, rows, columns, bytes, files) of written Parquet tables; rows come from file footers, columns from the schema."""
+    out = []
+    for name, path in paths.items():
+        df = spark.read.parquet(path)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).agg(F.sum("length").alias("b"), F.count("*").alias("n")).first()
+        out.append((name, df.count(), len(df.columns), files.b, files.n))
+    return spark.createDataFrame(out, "name string, rows long, columns int, bytes long, files long")
+
+
+def write_appendix(spark: SparkSession, sections: dict[str, dict[str, DataFrame]], path: str, overwrite: bool = False) -> dict[str, list[str]]:
+    """A bundle per section and one manifest that names its sheets."""
+    written = {section: write_bundle(sheets, f"{path}/{section}", overwrite) for section, sheets in sections.items()}
+    write_manifest(spark, f"{path}/manifest.json", written)
+    return written
+
+
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in one possible order only: by the keys, then by all other columns, missing values last."""
+    rest = [f.name for f in df.schema if f.name not in keys and not f.dataType.simpleString().startswith(("map", "variant"))]
+    return df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in (*keys, *rest)])
+
+
 def column_dictionary(**tables: DataFrame) -> DataFrame:
     """(table, position, column, type, nullable) of several tables, from their schemas."""
     spark = next(iter(tables.values())).sparkSession

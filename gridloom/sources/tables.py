@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -91,3 +92,27 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, modified) of the files under a folder, without reading them."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return f.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def column_families(columns: list[str], stem: str) -> dict[str, str]:
+    """Columns of a family, by level: both `stem__LEVEL` and `stem_LEVEL` are read, the former wins; levels have capitals and digits."""
+    found: dict[str, str] = {}
+    for joint in ("_", "__"):
+        for c in columns:
+            if m := re.fullmatch(re.escape(stem + joint) + r"([A-Z]+\d+)", c):
+                found[m[1]] = c
+    return dict(sorted(found.items()))
+
+
+def attach_labels(df: DataFrame, labels: DataFrame, key: str, label: str, missing: str = "no_label") -> DataFrame:
+    """Left join of one label per key, with `<label>_note`: 'matched', 'several_labels' (the first in order is taken) or `missing`."""
+    one = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(label).alias(label), F.count_distinct(label).alias("__n"))
+    out = df.join(one, F.col(key) == F.col("__k"), "left").drop("__k")
+    note = F.when(F.col(label).isNull(), missing).when(F.col("__n") > 1, "several_labels").otherwise("matched")
+    return out.withColumn(f"{label}_note", note).drop("__n")
+
+
+def retry_waits(attempts: int, first: float = 1.0, most: float = 60.0, jitter: float = 0.25, seed: int = 1) -> list[float]:
+    """Seconds to wait before each further attempt: doubled each time up to `most`, spread by a seeded jitter."""
+    draw = random.Random(seed)
+    return [min(most, first * 2**i) * (1 + draw.uniform(-jitter, jitter)) for i in range(max(0, attempts - 1))]

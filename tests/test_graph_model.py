@@ -156,6 +156,10 @@ def test_pca_and_mixture(spark):
     assert {r.cluster: r.n for r in got.groupBy("cluster").agg(F.count("*").alias("n")).collect()} == {"MT01": 150, "MT02": 100}
     assert model.cluster_scores(got, list("abcd"), "cluster").first().calinski_harabasz > 100
     assert len(set(model.ward(pts[::5], 2))) == 2
+    assert model.silhouette(got, list("abcd"), "cluster") > 0.8 and model.silhouette(got.where("cluster = 'MT01'"), list("abcd"), "cluster") is None
+    flags = model.assignment_flags(got, F.col("a") < 4).groupBy("scope", "reason").count().collect()
+    assert {(r.scope, r.reason) for r in flags} == {("main_fit", ""), ("projected", "projected")}
+    assert model.choose_k([(3, 0, 0, 5.0, 0.2, True), (2, 0, 0, 5.0, 0.2, True)]) == 2 and model.choose_k([(3, 0, 0, 5.0, 0.2, True), (2, 0, 0, 5.0, 0.2, True)], {3: 0.9}) == 3
 
 
 def test_nearest_grows_its_radius(spark):

@@ -70,3 +70,18 @@ def test_stream_equals_batch(spark, tmp_path):
     s = live.status_sink(live.stream_table(spark, str(tmp_path / "in"), ev.schema, 1), str(tmp_path / "st"), str(tmp_path / "c2"), "k", "ts")
     s.awaitTermination()
     assert {r.k: r.v for r in sinks.latest_status(spark.read.parquet(str(tmp_path / "st")).drop("batch"), "k", "ts").collect()} == {0: 498.0, 1: 499.0, 2: 497.0}
+
+
+def test_families_labels_waits_shapes_and_appendix(spark, tmp_path):
+    assert tables.column_families(["n_share_MT02", "n_share__MT01", "n_share_MT01", "n_share_total"], "n_share") == {"MT01": "n_share__MT01", "MT02": "n_share_MT02"}
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    names = spark.createDataFrame([("a", "Anna"), ("b", "Bert"), ("b", "Bea"), ("c", None), (None, "x")], "k string, name string")
+    assert {r.k: (r.name, r.name_note) for r in tables.attach_labels(df, names, "k", "name").collect()} == {"a": ("Anna", "matched"), "b": ("Bea", "several_labels"), "c": (None, "no_label"), None: (None, "no_label")}
+    waits = tables.retry_waits(6, 1.0, 8.0)
+    assert len(waits) == 5 and waits == tables.retry_waits(6, 1.0, 8.0) and all(0.75 * min(8, 2**i) <= w <= 1.25 * min(8, 2**i) for i, w in enumerate(waits))
+    df.write.parquet(str(tmp_path / "t"))
+    got = sinks.shapes(spark, {"t": str(tmp_path / "t")}).first()
+    assert (got.rows, got.columns) == (4, 1) and got.bytes > 0
+    assert sinks.write_appendix(spark, {"A": {"x": df}, "B": {"y": names, "Y": df}}, str(tmp_path / "app")) == {"A": ["x"], "B": ["y", "Y_2"]}
+    assert json.loads((tmp_path / "app" / "manifest.json").read_text())["B"] == ["y", "Y_2"]
+    assert [r.k for r in sinks.in_order(df).collect()] == ["a", "b", "c", None]
