@@ -140,13 +140,24 @@ def routes(e: DataFrame, best: DataFrame, targets: DataFrame, cutoff: float | No
         best = materialize(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "sp", after=best)
 
 
-def route_pairs(pairs: DataFrame, paths: DataFrame, origin: str, destination: str, straight: str) -> DataFrame:
-    """Adds route_length_m, detour_ratio, route_found and failure_reason (same_node, no_path) to origin-destination pairs."""
+def route_pairs(pairs: DataFrame, paths: DataFrame, origin: str, destination: str, straight: str, nodes: DataFrame | None = None) -> DataFrame:
+    """Adds route_length_m, detour_ratio, route_found and failure_reason (same_node, node_not_found, no_path) to origin-destination pairs.
+
+    nodes: column `node`, the nodes of the network; without it a missing node is no path.
+    """
     p = paths.select(F.col("source").alias("__s"), F.col("node").alias("__n"), F.col("distance").alias("__d"))
-    j = pairs.join(p, (F.col(origin) == F.col("__s")) & (F.col(destination) == F.col("__n")), "left").drop("__s", "__n")
+    j = pairs.join(p, (F.col(origin) == F.col("__s")) & (F.col(destination) == F.col("__n")), "left").drop("__s", "__n").withColumn("__known", F.lit(True))
+    if nodes is not None:
+        at = nodes.select("node").where(F.col("node").isNotNull()).distinct()
+        for c in (origin, destination):
+            j = j.join(at.select(F.col("node").alias("__at"), F.lit(True).alias("__in")), F.col(c) == F.col("__at"), "left").withColumn("__known", F.col("__known") & F.coalesce("__in", F.lit(False))).drop("__at", "__in")
     same = F.col(origin) == F.col(destination)
     ok = ~same & F.col("__d").isNotNull()
-    return j.withColumn("route_length_m", F.when(ok, F.col("__d"))).withColumn("detour_ratio", F.when(ok, F.try_divide(F.col("__d"), F.col(straight)))).withColumn("route_found", F.coalesce(ok, F.lit(False))).withColumn("failure_reason", F.when(same, "same_node").when(F.col("__d").isNull(), "no_path")).drop("__d")
+    why = F.when(~F.col("__known"), "node_not_found").when(same, "same_node").when(F.col("__d").isNull(), "no_path")
+    return (
+        j.withColumn("route_length_m", F.when(ok, F.col("__d"))).withColumn("detour_ratio", F.when(ok, F.try_divide(F.col("__d"), F.col(straight))))
+        .withColumn("route_found", F.coalesce(ok, F.lit(False))).withColumn("failure_reason", why).drop("__d", "__known")
+    )
 
 
 def contract_chains(edges: DataFrame, length: str) -> DataFrame:

@@ -165,3 +165,20 @@ def edge_geometry(spark, root):
     known = clean.finite(sum((F.col(c) for c in _ENDS), F.lit(0.0))).isNotNull()
     length = F.round(F.coalesce("drive_route_length_m", F.col("straight_distance_m") * 1.3), 3).alias("length_m")
     return load(spark, root, "od_detour_samples").select("od_id", "loaded_at", *[F.when(known, F.col(c)).alias(c) for c in _ENDS], length)
+
+
+@query(f"""
+WITH x AS (SELECT city_id, network_type, scale, {FIN('average_node_degree')} AS x FROM local_morphology_metrics),
+s AS (SELECT city_id, network_type, scale, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, quantile_cont(x, 0.9) - quantile_cont(x, 0.1) AS span, avg(x) AS m FROM x GROUP BY ALL),
+g AS (SELECT city_id, scale, max(m) FILTER (WHERE network_type = 'walk') - max(m) FILTER (WHERE network_type = 'drive') AS gap FROM s GROUP BY ALL)
+SELECT s.city_id, network_type, s.scale, round(iqr, 6) + 0.0 AS iqr, round(span, 6) + 0.0 AS span, round(gap, 6) + 0.0 AS walk_drive_gap FROM s LEFT JOIN g ON s.city_id IS NOT DISTINCT FROM g.city_id AND s.scale IS NOT DISTINCT FROM g.scale
+""")
+def signature_spread(spark, root):
+    """Spread of a metric within each city, network and scale, and the gap between the networks."""
+    m, keys = load(spark, root, "local_morphology_metrics"), ["city_id", "network_type", "scale"]
+    q = ranks.quantiles(m, keys, {"q": F.col("average_node_degree")}, [0.1, 0.25, 0.75, 0.9])
+    s = ranks.null_safe(m.groupBy(*keys).agg(F.avg(clean.finite(F.col("average_node_degree"))).alias("m")), q, keys, "left")
+    of = lambda n: F.max(F.when(F.col("network_type") == n, F.col("m")))
+    gap = s.groupBy("city_id", "scale").agg((of("walk") - of("drive")).alias("gap"))
+    out = ranks.null_safe(s, gap, ["city_id", "scale"], "left")
+    return out.select(*keys, r6(F.col("q")[2] - F.col("q")[1], "iqr"), r6(F.col("q")[3] - F.col("q")[0], "span"), r6("gap", "walk_drive_gap"))

@@ -339,13 +339,24 @@ def local_flags_penalty(spark, root):
     return m.select("unit_id", "network_type", "scale", "run_id", "loaded_at", "dense", clean.penalty((~clean.safe_bool(c("valid_metric")), 45), (c("edge_count") < 3, 15), (c("node_count") < 2, 15), (c("dense"), 20), (~clean.finite(c("edge_circuity_mean")).between(1, 3), 15)).alias("validity"))
 
 
-@query("""
-SELECT od_id, 'long_detour' AS rule, detour_ratio::VARCHAR AS evidence FROM od_detour_samples WHERE detour_ratio > 2 UNION ALL SELECT od_id, 'no_route', failure_reason FROM od_detour_samples WHERE NOT route_found
-UNION ALL SELECT od_id, 'low_confidence', origin_unit_id FROM od_detour_samples WHERE origin_low_confidence_flag AND destination_low_confidence_flag
+# Rules over the samples: condition and evidence, in words that both engines read.
+_RULES = {
+    "long_detour": ("detour_ratio > 2", None), "no_route": ("NOT route_found", "failure_reason"), "low_confidence": ("origin_low_confidence_flag AND destination_low_confidence_flag", "origin_unit_id"),
+    "short_pair": ("straight_distance_m < 100", "destination_unit_id"), "same_unit": ("origin_unit_id = destination_unit_id", "origin_unit_id"), "missing_city": ("city_id IS NULL", "origin_unit_id"),
+    "missing_type": ("origin_morphotype IS NULL OR destination_morphotype IS NULL", "origin_unit_id"), "mixed_scope": ("origin_analysis_scope <> destination_analysis_scope", "origin_analysis_scope"),
+    "doubtful_origin": ("origin_type_confidence < 50", "origin_unit_id"), "detour_above_p95": ("above", "origin_unit_id"),
+}
+
+
+@query(f"""
+WITH p AS (SELECT city_id, quantile_cont({FIN('detour_ratio')}, 0.95) AS p95 FROM od_detour_samples WHERE route_found GROUP BY city_id),
+s AS (SELECT o.*, coalesce({FIN('detour_ratio')} > p95, false) AS above FROM od_detour_samples o LEFT JOIN p ON o.city_id IS NOT DISTINCT FROM p.city_id)
+{' UNION ALL '.join(f"SELECT od_id, '{n}' AS rule, {'CAST(detour_ratio AS VARCHAR)' if e is None else e} AS evidence FROM s WHERE {w}" for n, (w, e) in _RULES.items())}
 """)
 def review_list(spark, root):
-    c = F.col
-    return score.review_list(load(spark, root, "od_detour_samples"), "od_id", {"long_detour": (c("detour_ratio") > 2, c("detour_ratio")), "no_route": (~c("route_found"), c("failure_reason")), "low_confidence": (c("origin_low_confidence_flag") & c("destination_low_confidence_flag"), c("origin_unit_id"))})
+    """Ten kinds of samples to look at, with evidence; one threshold is the 95 % rank of the sample's city. One pass after it."""
+    od = score.above_group_quantile(load(spark, root, "od_detour_samples"), ["city_id"], "detour_ratio", 0.95, F.col("route_found"), "above")
+    return score.review_list(od, "od_id", {n: (F.expr(w), F.col(e or "detour_ratio")) for n, (w, e) in _RULES.items()})
 
 
 @query(f"SELECT osmid, network_type, city_id, {FIN('lon')} AS lon, {FIN('lat')} AS lat FROM (SELECT osmid, network_type, city_id, lon, lat, row_number() OVER (PARTITION BY osmid, network_type ORDER BY built_at DESC NULLS LAST, city_id, lon, lat) AS rn FROM network_context) WHERE rn = 1")

@@ -174,3 +174,11 @@ def test_linkage_methods(spark):
     r = spark.createDataFrame([(10, "Sao Port", "X", 5.0), (11, "East Port", "X", 1.0), (12, "Lakeville", "X", 2.0), (13, "Sao Port", "Y", 9.0)], "r int, n string, k string, size double")
     got = {x.c: (x.r, x.method) for x in linkage.match_in_blocks(c, r, "c", "n", "k", "r", "n", "k", "size").collect()}
     assert got == {1: (10, "exact"), 2: (11, "tokens"), 3: (12, "fuzzy"), 4: (None, "unmatched"), 5: (None, "unmatched")}
+
+
+def test_reasons_of_missing_routes(spark):
+    pairs = spark.createDataFrame([(1, "a", "b", 2.0), (2, "a", "a", 0.0), (3, "a", "c", 5.0), (4, "a", "z", 1.0), (5, None, "a", 1.0)], "i int, o string, t string, s double")
+    paths = spark.createDataFrame([("a", "b", 3.0)], "source string, node string, distance double")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "node string")
+    got = {r.i: (r.route_found, r.detour_ratio, r.failure_reason) for r in graph.route_pairs(pairs, paths, "o", "t", "s", nodes).collect()}
+    assert got == {1: (True, 1.5, None), 2: (False, None, "same_node"), 3: (False, None, "no_path"), 4: (False, None, "node_not_found"), 5: (False, None, "node_not_found")}
