@@ -37,6 +37,14 @@ def local_signature(df: DataFrame, keys: list[str], metrics: list[str], valid: C
     return full.withColumn("value", F.when(F.col("statistic").isin("n_valid", "valid_share"), F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")))
 
 
+def with_codes(df: DataFrame, source: DataFrame, column: str, most: int = 1000) -> DataFrame:
+    """Each row once for every code in a column of `source`, of which there may be `most`; more is an error."""
+    codes = [r[0] for r in source.select(column).distinct().limit(most + 1).collect()]
+    if len(codes) > most:
+        raise ValueError(f"{column} has more than {most} codes")
+    return df.withColumn(column, F.explode(F.array(*[F.lit(c) for c in sorted(codes, key=str)]).cast(f"array<{source.schema[column].dataType.simpleString()}>")))
+
+
 def city_signature(df: DataFrame, keys: list[str], metrics: list[str], valid: Column) -> DataFrame:
     """Wide row to long (keys, metric, value), value null where the row is not valid."""
     ok = F.coalesce(valid, F.lit(False))

@@ -75,7 +75,7 @@ _LONG = " UNION ALL ".join(f"SELECT city_id, network_type, scale, '{m}' AS metri
 def signature_completeness(spark, root):
     """Every key of the spine and every metric, with or without rows."""
     m = load(spark, root, "local_morphology_metrics")
-    spine = load(spark, root, "candidate_city").select("city_id").crossJoin(F.broadcast(m.select("network_type").distinct())).crossJoin(F.broadcast(m.select("scale").distinct()))  # a few codes
+    spine = signature.with_codes(signature.with_codes(load(spark, root, "candidate_city").select("city_id"), m, "network_type"), m, "scale")
     sig = signature.local_signature(m, KEYS3, list(METRICS), F.col("valid_metric"), "population_weight", spine)
     return sig.where(F.col("statistic") == "n_valid").select(*KEYS3, "metric", F.col("value").cast("long").alias("n_valid"))
 
