@@ -438,12 +438,13 @@ def history_year_metrics(spark, root):
     return y.groupBy("o_custkey").agg(at(1996).alias("n1996"), at(2000).alias("n2000"), F.max("y").alias("last_year"), r6(clean.growth(at(2000), at(1996)), "growth"), F.round(clean.stability(cv), 6).alias("stability"))
 
 
-@query(f"""
-SELECT network_type, scale, count(*) AS n, round({_wmean('average_node_degree', 'population_weight')}, 6) AS average_node_degree_wmean, round(avg({FIN('average_node_degree')}), 6) AS average_node_degree_mean, round(quantile_cont({FIN('average_node_degree')}, 0.5), 6) AS average_node_degree_median, round(quantile_cont({FIN('average_node_degree')}, 0.1), 6) AS average_node_degree_p10, round(quantile_cont({FIN('average_node_degree')}, 0.9), 6) AS average_node_degree_p90 FROM local_morphology_metrics GROUP BY ALL
-""")
+_SUMMARY = ", ".join(f"round({_wmean(m, 'population_weight')}, 6) AS {m}_wmean, round(avg({FIN(m)}), 6) AS {m}_mean, round(quantile_cont({FIN(m)}, 0.5), 6) AS {m}_median, round(quantile_cont({FIN(m)}, 0.1), 6) AS {m}_p10, round(quantile_cont({FIN(m)}, 0.9), 6) AS {m}_p90" for m in METRICS)
+
+
+@query(f"SELECT network_type, scale, count(*) AS n, {_SUMMARY} FROM local_morphology_metrics GROUP BY network_type, scale")
 def weighted_summary(spark, root):
-    s = stats.summary(load(spark, root, "local_morphology_metrics"), ["network_type", "scale"], ["average_node_degree"], "population_weight")
-    return s.select("network_type", "scale", "n", *[F.round(c, 6).alias(c) for c in s.columns if c.startswith("average")])
+    s = stats.summary(load(spark, root, "local_morphology_metrics"), ["network_type", "scale"], list(METRICS), "population_weight")
+    return s.select("network_type", "scale", "n", *[F.round(c, 6).alias(c) for c in s.columns if c not in ("network_type", "scale", "n")])
 
 
 @query(" UNION ALL ".join(f"SELECT '{m}' AS \"column\", count({FIN(m)}) AS n, round(avg({FIN(m)}), 6) AS mean, round(quantile_cont({FIN(m)}, 0.5), 6) AS median, round(quantile_cont({FIN(m)}, 0.9), 6) AS p90, round(max({FIN(m)}), 6) AS max FROM local_morphology_metrics" for m in METRICS))

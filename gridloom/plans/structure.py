@@ -435,9 +435,12 @@ def unique_key_check(spark, root):
     return rollup.unique_check(load(spark, root, "local_morphotypes"), ["unit_id", "network_type"], "unit_network")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL{' OR isnan(' + c + ')' if c == 'lon' else ''}) AS nulls, count(*) AS \"rows\" FROM network_context" for c in ("city_id", "lon", "source_path")))
+_NODE = ("city_id", "network_type", "osmid", "lon", "lat", "x_scale", "y_scale", "source_path", "built_at")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL{' OR isnan(' + c + ')' if c in ('lon', 'lat', 'x_scale', 'y_scale') else ''}) AS nulls, count(*) AS \"rows\" FROM network_context" for c in _NODE))
 def null_report(spark, root):
-    return rollup.null_report(load(spark, root, "network_context"), ["city_id", "lon", "source_path"])
+    return rollup.null_report(load(spark, root, "network_context"), list(_NODE))
 
 
 @query("WITH e AS (SELECT DISTINCT city_id FROM candidate_city), a AS (SELECT DISTINCT city_id FROM local_morphotypes WHERE city_id IS NOT NULL) SELECT coalesce(e.city_id, a.city_id) AS city_id, CASE WHEN a.city_id IS NULL THEN 'missing' WHEN e.city_id IS NULL THEN 'extra' ELSE 'both' END AS state FROM e FULL JOIN a ON e.city_id = a.city_id")
@@ -445,14 +448,17 @@ def coverage_sets(spark, root):
     return rollup.coverage(load(spark, root, "candidate_city"), load(spark, root, "local_morphotypes").where(F.col("city_id").isNotNull()), "city_id")
 
 
-@query("""
-WITH b AS (SELECT city_id, count(*) AS n FROM local_morphology_metrics WHERE run_id = 1 AND city_id IS NOT NULL GROUP BY city_id), a AS (SELECT city_id, count(*) AS n FROM local_morphology_metrics WHERE run_id = 2 AND city_id IS NOT NULL GROUP BY city_id)
-SELECT coalesce(a.city_id, b.city_id) AS city_id, CASE WHEN b.city_id IS NULL THEN 'added' WHEN a.city_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.city_id = b.city_id WHERE a.n IS DISTINCT FROM b.n
-""")
+_RUNS = ((1, 2), (2, 3), (3, 4))
+_OF_RUN = "(SELECT city_id, count(*) AS n FROM local_morphology_metrics WHERE run_id = {0} AND city_id IS NOT NULL GROUP BY city_id)".format
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}-{y}' AS runs, coalesce(a.city_id, b.city_id) AS city_id, CASE WHEN b.city_id IS NULL THEN 'added' WHEN a.city_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM {_OF_RUN(x)} b FULL JOIN {_OF_RUN(y)} a ON a.city_id = b.city_id WHERE a.n IS DISTINCT FROM b.n" for x, y in _RUNS))
 def manifest_diff(spark, root):
-    m = load(spark, root, "local_morphology_metrics").where(F.col("city_id").isNotNull())
-    per = lambda run: m.where(F.col("run_id") == run).groupBy("city_id").agg(F.count("*").alias("n"))
-    return rollup.changed(per(1), per(2), "city_id", "n")
+    """What each run has more, less or changed against the one before."""
+    counts = materialize(load(spark, root, "local_morphology_metrics").where(F.col("city_id").isNotNull()).groupBy("run_id", "city_id").agg(F.count("*").alias("n")), "runs")
+    per = lambda run: counts.where(F.col("run_id") == run).select("city_id", "n")
+    steps = [rollup.changed(per(x), per(y), "city_id", "n").withColumn("runs", F.lit(f"{x}-{y}")) for x, y in _RUNS]
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
 
 
 @query("""
