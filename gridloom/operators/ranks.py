@@ -65,13 +65,14 @@ def running(df: DataFrame, keys: list[str], x: str, sums: dict[str, Column], tie
     return out.drop(b_)
 
 
-def quantiles(df: DataFrame, keys: list[str], columns: dict[str, Column], probs: list[float], small: int = SMALL) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], columns: dict[str, Column], probs: list[float], small: int = SMALL, within: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
     """Per group one row: keys, and for each name the array of its exact quantiles, linear between ranks; null where it has no value.
 
     Null, NaN and infinite values don't count. A large group without any value is missing; without keys there is always one row.
+    within: a table and keys whose groups have no fewer rows than those of df, where they are cheaper to count.
     """
     direct = [F.percentile(finite(v.cast("double")), F.array(*[F.lit(p) for p in probs])).alias(n) for n, v in columns.items()]
-    large = large_groups(df, keys, small)
+    large = None if within and large_groups(*within, small) is None else large_groups(df, keys, small)
     if large is None:
         return df.groupBy(*keys).agg(*direct)
     if not keys:

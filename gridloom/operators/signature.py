@@ -12,24 +12,20 @@ STATISTICS = ("mean", "std", "q10", "q25", "q50", "q75", "q90", "n_valid", "vali
 
 
 def local_signature(df: DataFrame, keys: list[str], metrics: list[str], valid: Column, weight: str, spine: DataFrame | None = None) -> DataFrame:
-    """(keys, metric, statistic, value): one aggregation over all metrics and one for their ranks, then unpivoted.
+    """(keys, metric, statistic, value): the metrics are unpivoted first, so one small set of aggregates serves all of them.
 
     Rows where `valid` fails count in n but give no value. Keys of `spine` without rows come out with n_valid 0.
     """
     ok = F.coalesce(valid, F.lit(False))
-    aggs = []
-    for m in metrics:
-        x = F.when(ok, finite(F.col(m)))
-        mom = weighted_moments(x, F.col(weight))
-        n = F.count(x).cast("double")
-        aggs.append(F.array(mom["mean"], mom["std"], n, n / F.count("*")).alias(f"__{m}"))
-    ranks = quantiles(df, keys, {f"__q_{m}": F.when(ok, F.col(m)) for m in metrics}, [0.1, 0.25, 0.5, 0.75, 0.9])
-    wide = null_safe(df.groupBy(*keys).agg(*aggs), ranks, keys, "left")
-    cells = []
-    for m in metrics:
-        a, q = F.col(f"__{m}"), F.col(f"__q_{m}")
-        cells += [F.struct(F.lit(m).alias("metric"), F.lit(s).alias("statistic"), v.alias("value")) for s, v in zip(STATISTICS, (a[0], a[1], q[0], q[1], q[2], q[3], q[4], a[2], a[3]))]
-    long = wide.select(*keys, F.explode(F.array(*cells)).alias("s")).select(*keys, "s.metric", "s.statistic", "s.value")
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(ok, finite(F.col(m).cast("double"))).alias("x")) for m in metrics])
+    rows = df.select(*keys, F.col(weight).alias("__w"), F.explode(cells).alias("__s")).select(*keys, "__w", F.col("__s.metric").alias("metric"), F.col("__s.x").alias("__x"))
+    by = [*keys, "metric"]
+    mom, n = weighted_moments(F.col("__x"), F.col("__w")), F.count("__x").cast("double")
+    base = rows.groupBy(*by).agg(mom["mean"].alias("__mean"), mom["std"].alias("__std"), n.alias("__n"), (n / F.count("*")).alias("__share"))
+    ranks = quantiles(rows.drop("__w"), by, {"__q": F.col("__x")}, [0.1, 0.25, 0.5, 0.75, 0.9], within=(df, keys))
+    wide, q = null_safe(base, ranks, by, "left"), F.col("__q")
+    values = (F.col("__mean"), F.col("__std"), q[0], q[1], q[2], q[3], q[4], F.col("__n"), F.col("__share"))
+    long = wide.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), v.alias("value")) for s, v in zip(STATISTICS, values)])).alias("s")).select(*by, "s.statistic", "s.value")
     if spine is None:
         return long
     names = spine.select(*keys).distinct().withColumn("s", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s).alias("statistic")) for m in metrics for s in STATISTICS]))).select(*keys, "s.metric", "s.statistic")
