@@ -33,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_written: dict[str, SparkSession] = {}
+#: Stages of this process, each with what it takes to delete it, also once the session is stopped.
+_written: dict[str, tuple] = {}
 
 
 def materialize(df: DataFrame, label: str = "stage", after: DataFrame | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def materialize(df: DataFrame, label: str = "stage", after: DataFrame | None = N
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
-    _written[path] = spark
+    _written[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     df.write.parquet(path)
     if after is not None:
         release(after)
@@ -58,12 +59,13 @@ def release(stage: DataFrame | None = None) -> None:
     """Delete the files of a stage made by `materialize`, or of all stages of this process. Call it when no result reads them any more."""
     path = getattr(stage, "_gridloom_stage", None)
     for p in [path] if path else list(_written) if stage is None else []:
-        spark = _written.pop(p, None)
-        if spark is not None:
+        found = _written.pop(p, None)
+        if found is not None:
             try:
-                jvm = spark.sparkContext._jvm
-                jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(p), True)
-            except Exception:  # the session is gone; a folder of our own goes by atexit, one of the cluster with the job
+                jvm, conf = found
+                folder = jvm.org.apache.hadoop.fs.Path(p)
+                folder.getFileSystem(conf).delete(folder, True)
+            except Exception:  # the JVM is gone; a folder of our own goes by atexit, one of the cluster with the job
                 pass
 
 

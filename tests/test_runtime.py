@@ -34,7 +34,7 @@ def test_stages_are_read_back_and_deleted(spark):
 
 
 def test_no_folder_is_left_by_a_process(tmp_path):
-    code = "from pyspark.sql import SparkSession; from gridloom.runtime import materialize; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); materialize(s.range(3)); materialize(s.range(4)); s.stop()"
+    code = "import sys; from pyspark.sql import SparkSession; from gridloom.runtime import materialize; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://' + sys.argv[1]).getOrCreate(); materialize(s.range(3)); materialize(s.range(4)); s.stop()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env={**os.environ, "TMPDIR": str(tmp_path)}, capture_output=True)
-    assert not list(tmp_path.glob("gridloom-*"))
+    subprocess.run([sys.executable, "-c", code, str(tmp_path)], check=True, cwd=root, capture_output=True)
+    assert (tmp_path / "gridloom").is_dir() and not list((tmp_path / "gridloom").glob("stage-*"))
